@@ -159,31 +159,37 @@ def skew_flags(df: DataFrame, n_columns: int = 6) -> DataFrame:
 
 def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation of all column pairs, long form
-    (row_name, col_name, corr); NULL where undefined. One aggregate."""
+    (i, j, row_name, col_name, corr); NULL where undefined.
+
+    Each row is exploded into its (i <= j) column pairs and one narrow
+    aggregate (covariance and both deviations per pair) runs with map-side
+    partial aggregation; the diagonal is 1 where the column varies.
+    """
     cols = columns if columns is not None else column_kinds(df).numeric
+    if not cols:
+        return df.sparkSession.createDataFrame([], "i int, j int, row_name string, col_name string, corr double")
     nums = {c: to_number(df, c) for c in cols}
-    aggs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j > i:
-                aggs.append(safe_corr(nums[a], nums[b]).alias(f"c_{i}_{j}"))
-    wide = df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("_n"))
-    entries = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                # the diagonal is 1 unless the column has fewer than 2 distinct values
-                val = F.lit(None).cast("double")
-            else:
-                lo, hi = min(i, j), max(i, j)
-                val = F.col(f"c_{lo}_{hi}")
-            entries.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("row_name"), F.lit(b).alias("col_name"), val.alias("corr")))
-    long = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    diag = _diag_defined(df, cols)
-    long = long.withColumn(
-        "corr", F.when(F.col("i") == F.col("j"), F.when(diag[F.col("row_name")], F.lit(1.0))).otherwise(F.col("corr"))
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), nums[a].alias("a"), nums[b].alias("b"))
+        for i, a in enumerate(cols)
+        for j, b in enumerate(cols)
+        if j >= i
+    ]
+    pairs = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
+    stats = pairs.groupBy("i", "j").agg(
+        F.covar_samp("a", "b").alias("cov"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb")
+    )
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("sa") > 0, F.lit(1.0))).otherwise(
+        F.try_divide(F.col("cov"), F.col("sa") * F.col("sb"))
     )
-    return long.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+    upper = stats.select("i", "j", F.when(~F.isnan(r), r).alias("corr"))
+    # every (i, j) pair, present in the data or not
+    grid = df.sparkSession.createDataFrame([(i, j) for i in range(len(cols)) for j in range(len(cols))], "i int, j int")
+    names = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(i), F.lit(c))])
+    lower = upper.where(F.col("i") != F.col("j")).select(F.col("j").alias("i"), F.col("i").alias("j"), "corr")
+    full = grid.join(F.broadcast(upper.unionByName(lower)), ["i", "j"], "left")
+    return full.select("i", "j", names[F.col("i")].alias("row_name"), names[F.col("j")].alias("col_name"), "corr")
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -193,18 +199,6 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
 
 
-def _diag_defined(df: DataFrame, cols: list[str]) -> Column:
-    """Map column -> whether its self-correlation is defined (variance > 0)."""
-    if not cols:
-        return F.create_map()
-    spreads = df.agg(*[(F.stddev_samp(to_number(df, c)) > 0).alias(f"d{i}") for i, c in enumerate(cols)])
-    st = spreads.select(F.struct(*[F.coalesce(F.col(f"d{i}"), F.lit(False)).alias(f"d{i}") for i in range(len(cols))])).scalar()
-    pairs = []
-    for i, c in enumerate(cols):
-        pairs += [F.lit(c), st.getField(f"d{i}")]
-    return F.create_map(*pairs)
-
-
 def corr_strong_pairs(df: DataFrame, threshold: float = 0.8, n: int = 3) -> DataFrame:
     """First ``n`` upper-triangle pairs (column order) with |r| >= threshold."""
     m = corr_matrix(df)
