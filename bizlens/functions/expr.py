@@ -80,7 +80,7 @@ def money_text(c: Column) -> Column:
 
 def percent_text(c: Column) -> Column:
     """``12.3%`` style text with one decimal; ``-`` for NULL."""
-    return F.coalesce(F.format_string("%.1f%%", c.cast("double")), F.lit("-"))
+    return F.when(c.isNotNull(), F.format_string("%.1f%%", c.cast("double"))).otherwise(F.lit("-"))
 
 
 def unbiased_skew(g1: Column, n: Column) -> Column:
