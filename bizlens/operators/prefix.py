@@ -42,6 +42,22 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _group_ids(keys: pd.DataFrame) -> np.ndarray:
+    """Consecutive-run ids of the (sorted) key columns, NULLs comparing equal."""
+    change = np.zeros(len(keys), dtype=bool)
+    change[0] = True
+    for c in keys.columns:
+        col = keys[c]
+        isna = col.isna().to_numpy()
+        vals = col.to_numpy()
+        prev_na = np.roll(isna, 1)
+        same = np.zeros(len(keys), dtype=bool)
+        same[1:] = (vals[1:] == vals[:-1]) & ~isna[1:] & ~prev_na[1:]
+        same[1:] |= isna[1:] & prev_na[1:]
+        change |= ~same
+    return np.cumsum(change)
+
+
 def _local_cumsum(group_cols: list[str], value: str):
     def run(batches):
         pid = TaskContext.get().partitionId()
@@ -52,15 +68,15 @@ def _local_cumsum(group_cols: list[str], value: str):
                 continue
             vals = pdf[value].fillna(0)
             if group_cols:
-                keys = pdf[group_cols].astype(object).where(pdf[group_cols].notna(), None)
-                key_tuples = list(map(tuple, keys.itertuples(index=False, name=None)))
-                local = vals.groupby(pd.Series(key_tuples, index=pdf.index), sort=False).cumsum()
-                first = pd.Series([k == carry_key for k in key_tuples], index=pdf.index)
-                local = local + np.where(first, carry, 0)
-                carry_key = key_tuples[-1]
+                gid = _group_ids(pdf[group_cols])
+                local = vals.groupby(gid, sort=False).cumsum().to_numpy()
+                first_key = tuple(None if pd.isna(v) else v for v in pdf[group_cols].iloc[0])
+                if carry_key is not None and first_key == carry_key:
+                    local = local + np.where(gid == gid[0], carry, 0)
+                carry_key = tuple(None if pd.isna(v) else v for v in pdf[group_cols].iloc[-1])
             else:
-                local = vals.cumsum() + carry
-            pdf[LOCAL] = local.to_numpy()
+                local = vals.cumsum().to_numpy() + carry
+            pdf[LOCAL] = local
             pdf[PID] = pid
             carry = pdf[LOCAL].iloc[-1]
             yield pdf

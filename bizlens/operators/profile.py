@@ -168,14 +168,15 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cols = columns if columns is not None else column_kinds(df).numeric
     if not cols:
         return df.sparkSession.createDataFrame([], "i int, j int, row_name string, col_name string, corr double")
-    nums = {c: to_number(df, c) for c in cols}
+    # coerce every column once, then form the pairs from the coerced values
+    numbers = df.select(*[to_number(df, c).alias(f"_n{i}") for i, c in enumerate(cols)])
     entries = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), nums[a].alias("a"), nums[b].alias("b"))
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_n{i}").alias("a"), F.col(f"_n{j}").alias("b"))
         for i, a in enumerate(cols)
         for j, b in enumerate(cols)
         if j >= i
     ]
-    pairs = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    pairs = numbers.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
     stats = pairs.groupBy("i", "j").agg(
         F.covar_samp("a", "b").alias("cov"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb")
