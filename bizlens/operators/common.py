@@ -37,3 +37,17 @@ def top_k(df: DataFrame, value: str, key: str, n: int, descending: bool = True)
 def one_row(df: DataFrame, **columns: Column) -> DataFrame:
     """Append scalar columns to a one-row frame."""
     return df.select("*", *[c.alias(k) for k, c in columns.items()])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row stages enough tasks.
+
+    Small inputs can arrive in fewer scan partitions than the cluster has
+    cores; those are spread round-robin over ``defaultParallelism`` tasks. On
+    large inputs (many scan splits already) the frame is returned unchanged,
+    so no shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

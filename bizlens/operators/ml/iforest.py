@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizlens.functions.expr import to_number
+from bizlens.operators.common import spread
 from bizlens.operators.ml.prep import KEY, SAMPLE_SEED, hash_order, with_row_key
 from bizlens.operators.typing import column_kinds
 
@@ -92,44 +93,52 @@ def fit(features: DataFrame, n_features: int, trees: int = TREES, max_samples: i
     # each window partition is one tree over the bounded pool
     pick = Window.partitionBy("tree").orderBy(F.xxhash64(KEY, F.col("tree")), KEY)
     draws = per_tree.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= psi).drop("_r")
-    grown = draws.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, fcols, seed), NODE_SCHEMA)
+    grown = draws.select("tree", *fcols).groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, fcols, seed), NODE_SCHEMA)
     nodes = grown.toPandas()  # bounded: trees x (2 * psi - 1) nodes
     return nodes, psi
 
 
 def score(features: DataFrame, nodes: pd.DataFrame, psi: int, n_features: int) -> DataFrame:
-    """row_key + anomaly score for every row (full table, Arrow batches)."""
+    """row_key + anomaly score for every row (full table, Arrow batches).
+
+    The forest is flattened into arrays (node -> feature, threshold, children,
+    leaf path length) and all trees are walked together: one vectorised step
+    per depth level over a (rows x trees) index matrix.
+    """
     spark = features.sparkSession
     fcols = [f"_f{i}" for i in range(n_features)]
-    trees = []
-    for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        trees.append((t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(),
-                      np.array([c_factor(s) for s in t["size"]]) + t["depth"].to_numpy()))
-    forest = spark.sparkContext.broadcast((trees, c_factor(psi)))
-    key_fields = features.schema[KEY]
-
+    flat = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
+    offset = flat.groupby("tree")["node"].transform("size").groupby(flat["tree"]).first().cumsum().shift(fill_value=0)
+    base = flat["tree"].map(offset).to_numpy()
+    feat = flat["feature"].to_numpy()
+    left = np.where(flat["left"] >= 0, flat["left"] + base, -1)
+    right = np.where(flat["right"] >= 0, flat["right"] + base, -1)
+    leaf_len = flat["depth"].to_numpy() + np.array([c_factor(s) for s in flat["size"]])
+    roots = offset.sort_index().to_numpy()
+    forest = spark.sparkContext.broadcast((feat, flat["threshold"].to_numpy(), left, right, leaf_len, roots, c_factor(psi)))
     def run(batches):
-        tr, cpsi = forest.value
+        feat_a, thr_a, left_a, right_a, leaf_a, roots_a, cpsi = forest.value
         for pdf in batches:
             if pdf.empty:
                 continue
             x = pdf[fcols].to_numpy(dtype=np.float64)
-            total = np.zeros(len(x))
-            for feat, thr, left, right, leaf_len in tr:
-                node = np.zeros(len(x), dtype=np.int64)
-                active = feat[node] >= 0
-                while active.any():
-                    f = feat[node[active]]
-                    go_left = x[active, f] < thr[node[active]]
-                    node[active] = np.where(go_left, left[node[active]], right[node[active]])
-                    active = feat[node] >= 0
-                total += leaf_len[node]
-            mean_path = total / len(tr)
+            node = np.broadcast_to(roots_a, (len(x), len(roots_a))).copy()
+            rows = np.arange(len(x))[:, None]
+            while True:
+                f = feat_a[node]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                go_left = x[rows, np.where(inner, f, 0)] < thr_a[node]
+                node = np.where(inner, np.where(go_left, left_a[node], right_a[node]), node)
+            mean_path = leaf_a[node].mean(axis=1)
             s = np.power(2.0, -mean_path / cpsi) if cpsi > 0 else np.full(len(x), 0.5)
-            yield pd.DataFrame({KEY: pdf[KEY], "score": s})
+            yield pd.DataFrame({"_k1": pdf["_k1"], "_k2": pdf["_k2"], "score": s})
 
-    schema = T.StructType([key_fields, T.StructField("score", T.DoubleType())])
-    return features.select(KEY, *fcols).mapInPandas(run, schema)
+    # the key travels as two plain longs: struct columns are slow through Arrow/pandas
+    flat_key = spread(features.select(F.col(KEY).getField("h1").alias("_k1"), F.col(KEY).getField("h2").alias("_k2"), *fcols))
+    scored = flat_key.mapInPandas(run, "_k1 long, _k2 long, score double")
+    return scored.select(F.struct(F.col("_k1").alias("h1"), F.col("_k2").alias("h2")).alias(KEY), "score")
 
 
 def isolation_forest(df: DataFrame, top: int = 30, trees: int = TREES, seed: int = SAMPLE_SEED) -> DataFrame:
@@ -145,5 +154,4 @@ def isolation_forest(df: DataFrame, top: int = 30, trees: int = TREES, seed: int
     scored = score(feats, nodes, psi, len(cols))
     flagged = scored.where(F.col("score") > 0.5).orderBy(F.col("score").desc(), F.col(KEY)).limit(top)
     # the flagged keys are at most ``top`` rows
-    out = feats.join(F.broadcast(flagged), KEY, "left_semi")
-    return out.join(F.broadcast(flagged), KEY).drop(*[f"_f{i}" for i in range(len(cols))])
+    return feats.join(F.broadcast(flagged), KEY).drop(*[f"_f{i}" for i in range(len(cols))])
