@@ -309,3 +309,33 @@ SELECT * FROM (
   FROM documents ORDER BY documents.doc_id LIMIT 12)""")
 def q_preview_cells(spark, sf):
     return slices.preview(views.table(spark, sf, "documents"), ["doc_id"], 12, 80)
+
+
+@register("slice_anomalies", W("sales") + f""",
+d AS (SELECT order_date AS ds, sum(revenue) AS y FROM sales
+      WHERE {SLICE_WHERE} AND order_date IS NOT NULL AND revenue IS NOT NULL GROUP BY 1),
+spine AS (SELECT CAST(unnest(generate_series(CAST((SELECT min(ds) FROM d) AS TIMESTAMP),
+                                             CAST((SELECT max(ds) FROM d) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS ds),
+s AS (SELECT spine.ds, CAST(coalesce(d.y, 0) AS DOUBLE) AS y FROM spine LEFT JOIN d ON spine.ds = d.ds),
+q AS (SELECT quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3, count(*) AS n FROM s)
+SELECT s.ds, s.y FROM s, q WHERE n >= 7 AND (y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1))""")
+def q_slice_anomalies(spark, sf):
+    from bizlens.operators import anomaly
+
+    df, roles = _slice(spark, sf)
+    return anomaly.daily_iqr_outliers(df, roles)
+
+
+@register("slice_forecast", W("sales") + f""",
+h AS (SELECT order_date AS ds, sum(revenue) AS y FROM sales
+      WHERE {SLICE_WHERE} AND order_date IS NOT NULL AND revenue IS NOT NULL GROUP BY 1),
+hist AS (SELECT * FROM h WHERE (SELECT count(*) FROM h) >= 10),
+ma AS (SELECT CAST(sum(y) AS DOUBLE) / count(*) AS a FROM (SELECT y FROM hist ORDER BY ds DESC LIMIT 7))
+SELECT CAST(step AS INTEGER) AS step, CAST((SELECT max(ds) FROM hist) + CAST(step AS INTEGER) AS DATE) AS ds,
+       a AS yhat, a * 0.85 AS yhat_lower, a * 1.15 AS yhat_upper
+FROM ma, (SELECT unnest(generate_series(1, 30)) AS step) WHERE a IS NOT NULL""")
+def q_slice_forecast(spark, sf):
+    from bizlens.operators import forecast
+
+    df, roles = _slice(spark, sf)
+    return forecast.moving_average(forecast.history(df, roles))
