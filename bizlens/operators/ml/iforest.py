@@ -83,16 +83,27 @@ def feature_frame(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return keyed.select("*", *[F.coalesce(to_number(df, c), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(cols)]), cols
 
 
-def fit(features: DataFrame, n_features: int, trees: int = TREES, max_samples: int = MAX_SAMPLES, seed: int = SAMPLE_SEED):
-    """Grow the forest; returns (nodes pandas frame, psi)."""
+def fit(features: DataFrame, n_features: int, n_rows: int, trees: int = TREES, max_samples: int = MAX_SAMPLES,
+        seed: int = SAMPLE_SEED):
+    """Grow the forest; returns (nodes pandas frame, psi).
+
+    The pool is the first ``trees * psi`` rows in hash order (a distributed
+    top-k). When the table is at least that large, tree ``t`` takes the
+    ``t``-th block of ``psi`` pool rows: disjoint uniform subsamples. Smaller
+    tables give every tree its own draw of ``psi`` pool rows (smallest
+    ``xxhash64(row_key, t)``); the pool then has fewer than ``trees * psi``
+    rows, so the per-tree window stays bounded.
+    """
     fcols = [f"_f{i}" for i in range(n_features)]
-    n = features.count()
-    psi = min(max_samples, n)
-    pool = features.select(KEY, *fcols).orderBy(hash_order(KEY, seed), KEY).limit(trees * psi)
-    per_tree = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    # each window partition is one tree over the bounded pool
-    pick = Window.partitionBy("tree").orderBy(F.xxhash64(KEY, F.col("tree")), KEY)
-    draws = per_tree.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= psi).drop("_r")
+    psi = min(max_samples, n_rows)
+    pool = features.select(KEY, *fcols).withColumn("_h", hash_order(KEY, seed)).orderBy("_h", KEY).limit(trees * psi)
+    if n_rows >= trees * psi:
+        # numbering window over the bounded pool (trees * psi rows)
+        draws = pool.select(*fcols, (F.floor((F.row_number().over(Window.orderBy("_h", KEY)) - 1) / psi)).cast("int").alias("tree"))
+    else:
+        per_tree = pool.select(KEY, *fcols, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        pick = Window.partitionBy("tree").orderBy(F.xxhash64(KEY, F.col("tree")), KEY)
+        draws = per_tree.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= psi).drop("_r")
     grown = draws.select("tree", *fcols).groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, fcols, seed), NODE_SCHEMA)
     nodes = grown.toPandas()  # bounded: trees x (2 * psi - 1) nodes
     return nodes, psi
@@ -143,14 +154,16 @@ def score(features: DataFrame, nodes: pd.DataFrame, psi: int, n_features: int) -
 
 def isolation_forest(df: DataFrame, top: int = 30, trees: int = TREES, seed: int = SAMPLE_SEED) -> DataFrame:
     """Rows scored as outliers (score > 0.5), highest score first, first ``top``;
-    empty below 10 rows or without numeric columns."""
+    empty below 10 rows or without numeric columns. Three passes over the
+    table (pool, scoring, fetching the flagged rows); nothing is cached."""
     feats, cols = feature_frame(df)
+    empty = feats.limit(0).select("*", F.lit(0.0).alias("score")).drop(*[f"_f{i}" for i in range(len(cols))])
     if not cols:
-        return feats.limit(0).select("*", F.lit(0.0).alias("score"))
-    feats = feats.cache()
-    if feats.count() < MIN_ROWS:
-        return feats.limit(0).select("*", F.lit(0.0).alias("score"))
-    nodes, psi = fit(feats, len(cols), trees=trees, seed=seed)
+        return empty
+    n = df.count()
+    if n < MIN_ROWS:
+        return empty
+    nodes, psi = fit(feats, len(cols), n, trees=trees, seed=seed)
     scored = score(feats, nodes, psi, len(cols))
     flagged = scored.where(F.col("score") > 0.5).orderBy(F.col("score").desc(), F.col(KEY)).limit(top)
     # the flagged keys are at most ``top`` rows

@@ -46,6 +46,9 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    if "bizlens" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(app)  # already distributed with the job (--py-files)
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="bizlens-pkg-")
     archive = os.path.join(out_dir, "bizlens.zip")

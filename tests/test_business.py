@@ -87,3 +87,17 @@ def test_default_insight(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     out = rules.business_insights(df, {}).collect()
     assert len(out) == 1 and out[0]["rule"] == "default"
+
+
+def test_profile_constant_and_single_row(spark):
+    from bizlens.operators import profile
+
+    df = spark.createDataFrame([(1.0, 2.0, "x")] * 5, "a double, b double, c string")
+    sk = profile.skew_flags(df).collect()
+    assert all(r["direction"] is None for r in sk)
+    d = profile.profile_describe(df).collect()
+    assert {r["column_name"] for r in d} == {"a", "b"} and all(r["std"] == 0.0 for r in d)
+    assert all(r["corr"] is None for r in profile.corr_matrix(df).collect())
+    one = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    assert profile.profile_describe(one).first()["std"] is None
+    assert profile.insights_all(one).count() == 1
