@@ -51,8 +51,14 @@ def to_number(df: DataFrame, name: str) -> Column:
         return c.cast("int").cast("double")
     if is_numeric_type(dtype):
         return c.cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("double") * F.lit(86400.0)
+    if isinstance(dtype, T.TimestampNTZType):
+        # wall-clock seconds since 1970-01-01 00:00, independent of the session time zone
+        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.date_part(F.lit("SECOND"), c).cast("double")
+        return F.unix_date(F.to_date(c)).cast("double") * F.lit(86400.0) + seconds
     if is_date_type(dtype):
-        return F.unix_micros(c.cast("timestamp")).cast("double") / F.lit(1_000_000.0)
+        return F.unix_micros(c).cast("double") / F.lit(1_000_000.0)
     if isinstance(dtype, T.StringType):
         text = F.trim(c)
         return F.when(text.rlike(NUMBER_TEXT), F.expr("try_cast(trim(%s) AS DOUBLE)" % _sql_ident(name)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizlens.functions.expr import col_ref, is_numeric_type, to_number, unbiased_skew
-from bizlens.operators.common import spread
+from bizlens.operators.common import amount, spread
 from bizlens.operators.prefix import exact_quantiles
 from bizlens.operators.rules import missing_cells
 from bizlens.operators.typing import choose_value_column, column_kinds
@@ -119,10 +119,10 @@ def top_contributor_share(df: DataFrame, n_columns: int = 3) -> DataFrame:
     schema = "pos int, column_name string, top_value string, share double, value_column string"
     if not value or not cats:
         return df.sparkSession.createDataFrame([], schema)
-    v = to_number(df, value)
+    v = amount(df, value, fill_zero=False)  # decimals stay exact
     entries = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column_name"), col_ref(c).cast("string").alias("key")) for i, c in enumerate(cats)]
     long = df.select(F.explode(F.array(*entries)).alias("e"), v.alias("v")).select("e.pos", "e.column_name", "e.key", "v")
-    sums = long.where(F.col("key").isNotNull()).groupBy("pos", "column_name", "key").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"))
+    sums = long.where(F.col("key").isNotNull()).groupBy("pos", "column_name", "key").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("s"))
     per_col = sums.groupBy("pos", "column_name").agg(
         F.min(F.struct((-F.col("s")).alias("neg"), F.col("key"))).alias("b"), F.sum("s").alias("total")
     )
@@ -131,7 +131,7 @@ def top_contributor_share(df: DataFrame, n_columns: int = 3) -> DataFrame:
         F.col("w.pos").alias("pos"),
         F.col("w.column_name").alias("column_name"),
         F.col("w.b.key").alias("top_value"),
-        (-F.col("w.b.neg") / F.col("w.total") * 100.0).alias("share"),
+        ((-F.col("w.b.neg")).cast("double") / F.col("w.total").cast("double") * 100.0).alias("share"),
         F.lit(value).alias("value_column"),
     )
 

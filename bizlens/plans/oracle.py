@@ -27,7 +27,7 @@ VIEW_SQL = {
     "dirty": """dirty AS (
   SELECT CAST(ts AS DATE) AS day, user_id,
          CASE WHEN event_type <> 'error' THEN event_type END AS category,
-         CASE WHEN value >= 5 THEN value END AS revenue
+         CASE WHEN value >= 5 THEN CAST(value AS DECIMAL(18,2)) END AS revenue
   FROM events)""",
     "numeric_mix": """numeric_mix AS (
   SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_extendedprice AS amount,

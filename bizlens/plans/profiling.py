@@ -19,7 +19,7 @@ CORR_DIGITS = 9
 
 
 def _missing_expr(c: str) -> str:
-    return f"({c} IS NULL OR isnan({c}))" if c == "revenue" else f"{c} IS NULL"
+    return f"{c} IS NULL"
 
 
 @register("profile_shape", W("dirty") + """
@@ -71,7 +71,7 @@ def q_top_value_share(spark, sf):
 
 @register("top_contributor_share", W("dirty") + """,
 s AS (SELECT category AS key, coalesce(sum(revenue), 0) AS s FROM dirty WHERE category IS NOT NULL GROUP BY 1)
-SELECT 0 AS pos, 'category' AS column_name, key AS top_value, s / (SELECT sum(s) FROM s) * 100.0 AS share,
+SELECT 0 AS pos, 'category' AS column_name, key AS top_value, CAST(s AS DOUBLE) / CAST((SELECT sum(s) FROM s) AS DOUBLE) * 100.0 AS share,
        'revenue' AS value_column
 FROM s WHERE (SELECT sum(s) FROM s) <> 0 ORDER BY s DESC, key LIMIT 1""")
 def q_top_contributor_share(spark, sf):
@@ -79,11 +79,11 @@ def q_top_contributor_share(spark, sf):
 
 
 @register("skew_flags", W("dirty") + "\nUNION ALL\n".join(
-    f"""SELECT * FROM (SELECT {i} AS ordinal, '{c}' AS column_name, count({c}) AS n, skewness(CAST({c} AS DOUBLE)) AS skew,
+    f"""SELECT * FROM (SELECT {i} AS ordinal, '{c}' AS column_name, count({c}) AS n, round(skewness(CAST({c} AS DOUBLE)), 9) AS skew,
        CASE WHEN skewness(CAST({c} AS DOUBLE)) > 1 THEN 'right' WHEN skewness(CAST({c} AS DOUBLE)) < -1 THEN 'left' END AS direction
        FROM dirty) WHERE n >= 3""" for i, c in enumerate(["user_id", "revenue"])))
 def q_skew_flags(spark, sf):
-    return profile.skew_flags(views.dirty(spark, sf))
+    return profile.skew_flags(views.dirty(spark, sf)).withColumn("skew", F.round("skew", CORR_DIGITS))
 
 
 def _corr_sql(upper_only_strong: bool = False) -> str:
@@ -105,7 +105,7 @@ def _corr_sql(upper_only_strong: bool = False) -> str:
             rows.append(f"SELECT {i} AS i, {j} AS j, '{a}' AS row_name, '{b}' AS col_name, CAST({val} AS DOUBLE) AS corr FROM w")
     body = W("numeric_mix") + ",\nw AS (SELECT " + ", ".join(sel) + " FROM numeric_mix),\nm AS (" + "\nUNION ALL\n".join(rows) + ")\n"
     if upper_only_strong:
-        return body + "SELECT i, j, row_name AS left, col_name AS right, abs(corr) AS corr FROM m WHERE i < j AND abs(corr) >= 0.8 AND NOT isnan(corr) ORDER BY i, j LIMIT 3"
+        return body + f"SELECT i, j, row_name AS left, col_name AS right, round(abs(corr), {CORR_DIGITS}) AS corr FROM m WHERE i < j AND abs(corr) >= 0.8 AND NOT isnan(corr) ORDER BY i, j LIMIT 3"
     return body + f"SELECT i, j, row_name, col_name, round(CASE WHEN isnan(corr) THEN NULL ELSE corr END, {CORR_DIGITS}) AS corr FROM m"
 
 
@@ -117,7 +117,7 @@ def q_corr_matrix(spark, sf):
 
 @register("corr_strong_pairs", _corr_sql(upper_only_strong=True))
 def q_corr_strong_pairs(spark, sf):
-    return profile.corr_strong_pairs(views.numeric_mix(spark, sf))
+    return profile.corr_strong_pairs(views.numeric_mix(spark, sf)).withColumn("corr", F.round("corr", CORR_DIGITS))
 
 
 INSIGHT_MISSING_SQL = """,
@@ -143,7 +143,8 @@ dup AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty))
 vc AS (SELECT coalesce(category, 'nan') AS value, count(*) AS n FROM dirty GROUP BY 1),
 tv AS (SELECT value, 100.0 * n / (SELECT sum(n) FROM vc) AS share FROM vc ORDER BY n DESC, value LIMIT 1),
 cs AS (SELECT category AS key, coalesce(sum(revenue), 0) AS s FROM dirty WHERE category IS NOT NULL GROUP BY 1),
-tc AS (SELECT key, s / (SELECT sum(s) FROM cs) * 100.0 AS share FROM cs WHERE (SELECT sum(s) FROM cs) <> 0 ORDER BY s DESC, key LIMIT 1),
+tc AS (SELECT key, CAST(s AS DOUBLE) / CAST((SELECT sum(s) FROM cs) AS DOUBLE) * 100.0 AS share FROM cs
+       WHERE (SELECT sum(s) FROM cs) <> 0 ORDER BY s DESC, key LIMIT 1),
 sk AS (SELECT * FROM (
         SELECT 0 AS ordinal, 'user_id' AS c, count(user_id) AS n, skewness(CAST(user_id AS DOUBLE)) AS g FROM dirty
         UNION ALL SELECT 1, 'revenue', count(revenue), skewness(revenue) FROM dirty) WHERE n >= 3),

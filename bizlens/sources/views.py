@@ -78,13 +78,14 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a messy export: a missing category (error events), missing
-    revenue (values below 5), and natural duplicate rows from the day grain."""
+    revenue (values below 5; money as DECIMAL(18,2)), and natural duplicate
+    rows from the day grain."""
     ev = table(spark, sf_dir, "events")
     return ev.select(
         F.to_date("ts").alias("day"),
         F.col("user_id"),
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("category"),
-        F.when(F.col("value") >= 5, F.col("value")).alias("revenue"),
+        F.when(F.col("value") >= 5, F.col("value").cast("decimal(18,2)")).alias("revenue"),
     )
 
 
