@@ -51,3 +51,17 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a (typically aggregated) intermediate once and cut its lineage.
+
+    For small tables referenced several times in one plan with different
+    projections, where exchange reuse does not apply. Written with a reliable
+    checkpoint to the shared ``spark.checkpoint.dir``, so it also survives the
+    loss of the executors that computed it.
+    """
+    from bizlens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions.expr import col_ref
-from bizlens.operators.common import amount
+from bizlens.operators.common import amount, materialize
 from bizlens.operators.prefix import exact_quantiles
 from bizlens.operators.sales import require
 
@@ -48,7 +48,7 @@ def top_customers(df: DataFrame, roles: dict[str, str], n: int = 10) -> DataFram
 def high_ltv(df: DataFrame, roles: dict[str, str], q: float = 0.9, n: int = 30) -> DataFrame:
     """Customers at or above the exact ``q`` quantile of customer revenue, first ``n`` by revenue."""
     key = roles["customer"]
-    per = per_customer(df, roles).select(key, "revenue")
+    per = materialize(per_customer(df, roles).select(key, "revenue"))
     threshold = exact_quantiles(per, "revenue", [q], names=["t"]).select("t").scalar()
     return (
         per.where(F.col("revenue") >= F.coalesce(threshold, F.lit(0.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions.expr import col_ref
-from bizlens.operators.common import amount, group_sum
+from bizlens.operators.common import amount, group_sum, materialize
 from bizlens.operators.prefix import exact_quantiles
 from bizlens.operators.sales import require
 
@@ -31,7 +31,7 @@ def stock_total(df: DataFrame, roles: dict[str, str]) -> DataFrame:
 def low_stock(df: DataFrame, roles: dict[str, str], n: int = 20) -> DataFrame:
     """Products with stock <= max(0.25 * median product stock, 1), lowest first, first ``n``."""
     key = roles["product"]
-    per_product = stock_by_product(df, roles)
+    per_product = materialize(stock_by_product(df, roles))
     median = exact_quantiles(per_product, "stock", [0.5], names=["m"]).select("m").scalar()
     threshold = F.greatest(median * F.lit(0.25), F.lit(1.0))
     return per_product.where(F.col("stock") <= threshold).orderBy(F.col("stock").asc(), col_ref(key).asc()).limit(n)
@@ -39,7 +39,7 @@ def low_stock(df: DataFrame, roles: dict[str, str], n: int = 20) -> DataFrame:
 
 def low_stock_kpis(df: DataFrame, roles: dict[str, str], n: int = 20) -> DataFrame:
     """Stock total, the low-stock count as listed (after the cut to ``n``) and the full count."""
-    per_product = stock_by_product(df, roles)
+    per_product = materialize(stock_by_product(df, roles))
     median = exact_quantiles(per_product, "stock", [0.5], names=["m"]).select("m").scalar()
     is_low = F.col("stock") <= F.greatest(median * F.lit(0.25), F.lit(1.0))
     return per_product.agg(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizlens.functions.expr import col_ref, is_numeric_type, to_number, unbiased_skew
-from bizlens.operators.common import amount, spread
+from bizlens.operators.common import amount, materialize, spread
 from bizlens.operators.prefix import exact_quantiles
 from bizlens.operators.rules import missing_cells
 from bizlens.operators.typing import choose_value_column, column_kinds
@@ -179,9 +179,10 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     ]
     pairs = spread(numbers).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
-    stats = pairs.groupBy("i", "j").agg(
+    # p(p+1)/2 rows, read several times below: computed once
+    stats = materialize(pairs.groupBy("i", "j").agg(
         F.covar_samp("a", "b").alias("cov"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb")
-    )
+    ))
     r = F.when(F.col("i") == F.col("j"), F.when(F.col("sa") > 0, F.lit(1.0))).otherwise(
         F.try_divide(F.col("cov"), F.col("sa") * F.col("sb"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions.expr import col_ref
-from bizlens.operators.common import amount, group_sum, top_k
+from bizlens.operators.common import amount, group_sum, materialize, top_k
 from bizlens.operators.forecast import _date_expr
 from bizlens.operators.sales import order_count
 
@@ -65,7 +65,7 @@ def top_products(df: DataFrame, roles: dict[str, str], n: int = 20) -> DataFrame
 def category_share(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     """(category, revenue, share): revenue per category and its share of the slice total."""
     key = roles["category"]
-    per = group_sum(df, key, amount(df, roles["revenue"]), "revenue")
+    per = materialize(group_sum(df, key, amount(df, roles["revenue"]), "revenue"))
     total = per.agg(F.sum("revenue")).scalar()
     return per.select(
         key,
