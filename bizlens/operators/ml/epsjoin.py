@@ -1,0 +1,120 @@
+"""Exact eps-neighbour join over whole point tables.
+
+1. Pivots: the first P points in hash order (P ~ points / block, capped),
+   a bounded set shipped to the executors.
+2. Every point goes to its nearest pivot (its *home*, as owner) and, as a
+   guest, to every other pivot j with d(x, p_j) <= d(x, p_home) + 2 eps. If
+   d(x, y) <= eps and y's home is h, the triangle inequality gives
+   d(x, p_h) <= d(x, p_home(x)) + 2 eps, so x is present wherever y is owned:
+   each pair is found exactly once, at the owner's home.
+3. A pivot's owners are split into K blocks and its present points into L
+   blocks (K, L from per-pivot counts, so a crowded pivot gets many blocks);
+   owners are replicated over the L present blocks and present points over
+   the K owner blocks. ``cogroup(...).applyInPandas`` then compares one owner
+   block with one present block -- at most ``block`` x ``block`` distances per
+   group, computed with numpy -- and emits only pairs within eps.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bizlens.operators.common import spread
+from bizlens.operators.ml.neighbors import ID, VEC, _distances
+
+BLOCK = 2048
+MAX_PIVOTS = 1024
+SEED = 42
+
+
+def _assign(points: DataFrame, eps: float, block: int, max_pivots: int) -> DataFrame:
+    n = points.count()
+    p = int(min(max_pivots, max(1, math.ceil(n / block))))
+    piv = points.orderBy(F.xxhash64(ID, F.lit(SEED)), ID).limit(p).select(VEC).toPandas()  # bounded: p rows
+    pivots = np.array([np.asarray(v, dtype=np.float64) for v in piv[VEC]])
+    piv_b = points.sparkSession.sparkContext.broadcast(pivots)
+    reach = 2.0 * eps
+
+    def assign(batches):
+        pv = piv_b.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            q = np.array([np.asarray(v, dtype=np.float64) for v in pdf[VEC]])
+            d = _distances(q, pv)
+            home = d.argmin(axis=1)
+            dh = d[np.arange(len(q)), home]
+            # a tiny slack only adds guests, it never loses a pair
+            rows, cols = np.nonzero(d <= (dh + reach + 1e-9 * (1.0 + dh))[:, None])
+            yield pd.DataFrame({
+                "pivot": cols.astype(np.int32),
+                ID: pdf[ID].to_numpy()[rows],
+                VEC: pdf[VEC].to_numpy()[rows],
+                "own": cols == home[rows],
+            })
+
+    return spread(points.select(ID, VEC)).mapInPandas(assign, f"pivot int, {ID} long, {VEC} array<double>, own boolean")
+
+
+def _blocks(assigned: DataFrame, block: int):
+    """Per-pivot block counts (one small aggregate, at most P rows)."""
+    stats = assigned.groupBy("pivot").agg(
+        F.count(F.when(F.col("own"), 1)).alias("owners"), F.count(F.lit(1)).alias("present")
+    )
+    return stats.select(
+        "pivot",
+        F.greatest(F.ceil(F.col("owners") / block), F.lit(1)).cast("int").alias("k"),
+        F.greatest(F.ceil(F.col("present") / block), F.lit(1)).cast("int").alias("l"),
+    )
+
+
+def _pairs(points: DataFrame, eps: float, emit: str, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    assigned = _assign(points, eps, block, max_pivots)
+    sizes = F.broadcast(_blocks(assigned, block))  # one row per pivot
+    with_sizes = assigned.join(sizes, "pivot")
+    # fresh aliases on both sides: they derive from one lineage and meet in a cogroup
+    owners = with_sizes.where("own").select(
+        F.col("pivot").alias("pivot"), F.pmod(F.xxhash64(ID), F.col("k")).cast("int").alias("ob"),
+        F.explode(F.sequence(F.lit(0), F.col("l") - 1)).alias("pb"), F.col(ID).alias(ID), F.col(VEC).alias(VEC),
+    )
+    present = with_sizes.select(
+        F.col("pivot").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("ob"),
+        F.pmod(F.xxhash64(ID, F.lit(1)), F.col("l")).cast("int").alias("pb"), F.col(ID).alias(ID), F.col(VEC).alias(VEC),
+    )
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"src": np.array([], dtype=np.int64), "dst": np.array([], dtype=np.int64)}) if emit == "edges" \
+                else pd.DataFrame({ID: np.array([], dtype=np.int64), "neighbors": np.array([], dtype=np.int64)})
+        a = np.array([np.asarray(v, dtype=np.float64) for v in left[VEC]])
+        b = np.array([np.asarray(v, dtype=np.float64) for v in right[VEC]])
+        ids_a, ids_b = left[ID].to_numpy(), right[ID].to_numpy()
+        out = []
+        for s in range(0, len(a), 512):
+            within = _distances(a[s:s + 512], b) <= eps
+            if emit == "edges":
+                qi, ri = np.nonzero(within)
+                out.append(pd.DataFrame({"src": ids_a[s:s + 512][qi], "dst": ids_b[ri]}))
+            else:
+                out.append(pd.DataFrame({ID: ids_a[s:s + 512], "neighbors": within.sum(axis=1).astype(np.int64)}))
+        return pd.concat(out, ignore_index=True)
+
+    schema = "src long, dst long" if emit == "edges" else f"{ID} long, neighbors long"
+    keys = ["pivot", "ob", "pb"]
+    return owners.groupBy(*keys).cogroup(present.groupBy(*keys)).applyInPandas(compare, schema)
+
+
+def eps_neighbor_counts(points: DataFrame, eps: float, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """(id, neighbors): points within ``eps`` (inclusive, the point itself included), exact, whole table."""
+    partial = _pairs(points, eps, "counts", block, max_pivots)
+    return partial.groupBy(ID).agg(F.sum("neighbors").alias("neighbors"))
+
+
+def eps_edges(points: DataFrame, eps: float, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """(src, dst) for every pair within ``eps`` (both directions, self included), exact, whole table."""
+    return _pairs(points, eps, "edges", block, max_pivots)

@@ -90,16 +90,21 @@ def q_knn_distance(spark, sf):
 @register("eps_neighbor_counts", EMB_SQL + f"""
 SELECT vec_id AS id, count(*) AS neighbors FROM d WHERE dist <= {EPS} GROUP BY vec_id""")
 def q_eps_neighbor_counts(spark, sf):
-    points, _ = _embedding_points(spark, sf)
-    return nb.eps_neighbor_counts(points, EPS)
+    """Exact eps-neighbour counts over the whole embeddings table (distributed pivot join)."""
+    from bizlens.operators.ml import epsjoin
+
+    points = nb.to_points(views.table(spark, sf, "embeddings"), "vec_id", F.col("embedding"))
+    return epsjoin.eps_neighbor_counts(points, EPS)
 
 
 @register("dbscan_labels")
 def q_dbscan_labels(spark, sf):
-    points, _ = _embedding_points(spark, sf)
-    ref = nb.load_reference(points)
-    eps, k = nb.choose_eps(points, ref)
-    return nb.dbscan(points, eps, k, ref)
+    """DBSCAN over the whole embeddings table; eps from the k-distance of the
+    bounded hash sample (the reference's own rule), neighbour pairs exact."""
+    sample_points, _ = _embedding_points(spark, sf)
+    eps, k = nb.choose_eps(sample_points, nb.load_reference(sample_points))
+    points = nb.to_points(views.table(spark, sf, "embeddings"), "vec_id", F.col("embedding"))
+    return nb.dbscan(points, eps, k)
 
 
 @register("silhouette_labels", EMB_SQL + """,
