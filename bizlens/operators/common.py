@@ -34,11 +34,6 @@ def top_k(df: DataFrame, value: str, key: str, n: int, descending: bool = True)
     return df.orderBy(order, col_ref(key).asc()).limit(n)
 
 
-def one_row(df: DataFrame, **columns: Column) -> DataFrame:
-    """Append scalar columns to a one-row frame."""
-    return df.select("*", *[c.alias(k) for k, c in columns.items()])
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy per-row stages enough tasks.
 

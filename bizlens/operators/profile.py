@@ -195,13 +195,6 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return full.select("i", "j", names[F.col("i")].alias("row_name"), names[F.col("j")].alias("col_name"), "corr")
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pairwise-complete Pearson r; NULL (not an error under ANSI) when a side is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    a2, b2 = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
-
-
 def corr_strong_pairs(df: DataFrame, threshold: float = 0.8, n: int = 3) -> DataFrame:
     """First ``n`` upper-triangle pairs (column order) with |r| >= threshold."""
     m = corr_matrix(df)
