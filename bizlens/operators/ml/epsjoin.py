@@ -118,3 +118,104 @@ def eps_neighbor_counts(points: DataFrame, eps: float, block: int = BLOCK, max_p
 def eps_edges(points: DataFrame, eps: float, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(src, dst) for every pair within ``eps`` (both directions, self included), exact, whole table."""
     return _pairs(points, eps, "edges", block, max_pivots)
+
+
+def _nearest_within(queries: DataFrame, refs: DataFrame, radius: float, k: int, block: int, max_pivots: int) -> DataFrame:
+    """(id, d): for every query, up to ``k`` smallest distances to reference
+    points within ``radius`` (per pivot block; the caller merges blocks).
+
+    References stay at their nearest pivot; a query visits every pivot j with
+    d(x, p_j) <= d(x, p_home(x)) + 2 radius, which covers the home pivot of
+    every reference within ``radius`` (triangle inequality)."""
+    n = refs.count()
+    p = int(min(max_pivots, max(1, math.ceil(n / block))))
+    piv = refs.orderBy(F.xxhash64(ID, F.lit(SEED)), ID).limit(p).select(VEC).toPandas()  # bounded: p rows
+    pivots = np.array([np.asarray(v, dtype=np.float64) for v in piv[VEC]])
+    piv_b = refs.sparkSession.sparkContext.broadcast(pivots)
+    reach = 2.0 * radius
+
+    def place(batches, replicate: bool):
+        pv = piv_b.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            q = np.array([np.asarray(v, dtype=np.float64) for v in pdf[VEC]])
+            d = _distances(q, pv)
+            home = d.argmin(axis=1)
+            if replicate:
+                dh = d[np.arange(len(q)), home]
+                rows, cols = np.nonzero(d <= (dh + reach + 1e-9 * (1.0 + dh))[:, None])
+            else:
+                rows, cols = np.arange(len(q)), home
+            yield pd.DataFrame({"pivot": cols.astype(np.int32), ID: pdf[ID].to_numpy()[rows], VEC: pdf[VEC].to_numpy()[rows]})
+
+    schema = f"pivot int, {ID} long, {VEC} array<double>"
+    r_side = spread(refs.select(ID, VEC)).mapInPandas(lambda it: place(it, False), schema)
+    q_side = spread(queries.select(ID, VEC)).mapInPandas(lambda it: place(it, True), schema)
+    sizes = F.broadcast(  # one row per pivot
+        r_side.groupBy("pivot").agg(F.count(F.lit(1)).alias("nr")).join(
+            q_side.groupBy("pivot").agg(F.count(F.lit(1)).alias("nq")), "pivot", "full_outer")
+        .select("pivot", F.greatest(F.ceil(F.coalesce("nr", F.lit(0)) / block), F.lit(1)).cast("int").alias("kr"),
+                F.greatest(F.ceil(F.coalesce("nq", F.lit(0)) / block), F.lit(1)).cast("int").alias("kq"))
+    )
+    r_blocks = r_side.join(sizes, "pivot").select(
+        F.col("pivot").alias("pivot"), F.pmod(F.xxhash64(ID), F.col("kr")).cast("int").alias("rb"),
+        F.explode(F.sequence(F.lit(0), F.col("kq") - 1)).alias("qb"), F.col(ID).alias(ID), F.col(VEC).alias(VEC))
+    q_blocks = q_side.join(sizes, "pivot").select(
+        F.col("pivot").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("kr") - 1)).alias("rb"),
+        F.pmod(F.xxhash64(ID, F.lit(1)), F.col("kq")).cast("int").alias("qb"), F.col(ID).alias(ID), F.col(VEC).alias(VEC))
+
+    def nearest(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
+        if qdf.empty or rdf.empty:
+            return pd.DataFrame({ID: np.array([], dtype=np.int64), "d": np.array([], dtype=np.float64)})
+        a = np.array([np.asarray(v, dtype=np.float64) for v in qdf[VEC]])
+        b = np.array([np.asarray(v, dtype=np.float64) for v in rdf[VEC]])
+        ids = qdf[ID].to_numpy()
+        out_ids, out_d = [], []
+        for s in range(0, len(a), 512):
+            d = _distances(a[s:s + 512], b)
+            d = np.where(d <= radius, d, np.inf)
+            kk = min(k, d.shape[1])
+            part = np.partition(d, kk - 1, axis=1)[:, :kk]
+            rows, cols = np.nonzero(np.isfinite(part))
+            out_ids.append(ids[s:s + 512][rows])
+            out_d.append(part[rows, cols])
+        return pd.DataFrame({ID: np.concatenate(out_ids), "d": np.concatenate(out_d)})
+
+    keys = ["pivot", "rb", "qb"]
+    return q_blocks.groupBy(*keys).cogroup(r_blocks.groupBy(*keys)).applyInPandas(nearest, f"{ID} long, d double")
+
+
+def kth_distance(points: DataFrame, k: int, radius: float, block: int = BLOCK, max_pivots: int = MAX_PIVOTS,
+                 max_rounds: int = 40) -> DataFrame:
+    """(id, kth_distance): exact distance to the k-th nearest point (the point
+    itself included) for every point of the whole table.
+
+    Points whose k nearest lie within ``radius`` are answered in the first
+    round; the rest are retried with a doubled radius. Every round keeps at
+    most k candidates per point and block, and the pending points are
+    checkpointed between rounds.
+    """
+    from pyspark.sql import Window
+
+    from bizlens.operators.common import materialize
+
+    pending = materialize(points.select(ID, VEC))
+    done = []
+    r = float(radius)
+    for _ in range(max_rounds):
+        cand = _nearest_within(pending, points, r, k, block, max_pivots)
+        # at most k per point and partition cross the shuffle (partial group limit)
+        w = Window.partitionBy(ID).orderBy("d")
+        top = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+        per = materialize(top.groupBy(ID).agg(F.count(F.lit(1)).alias("_n"), F.max("d").alias("kth_distance")))
+        answered = per.where(F.col("_n") >= k).select(ID, "kth_distance")
+        done.append(answered)
+        pending = materialize(pending.join(answered.select(ID), ID, "left_anti"))
+        if pending.isEmpty():
+            break
+        r *= 2.0
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out

@@ -81,10 +81,18 @@ r AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist)
 k AS (SELECT greatest(5, CAST(floor(ln(count(*))) AS INTEGER)) AS k FROM p)
 SELECT vec_id AS id, round(dist, 9) AS kth_distance FROM r WHERE rn = (SELECT k FROM k)""")
 def q_knn_distance(spark, sf):
-    points, _ = _embedding_points(spark, sf)
-    ref = nb.load_reference(points)
-    k = nb.min_samples_for(len(ref[0]))
-    return nb.kth_distance(points, k, ref).withColumn("kth_distance", F.round("kth_distance", DIGITS))
+    """Exact k-distance (k = max(5, int(ln n)), self included) of every embedding,
+    whole table. The starting radius is the largest k-distance inside the
+    bounded hash sample; points not answered within it retry with 2x radius."""
+    from bizlens.operators.ml import epsjoin
+
+    points = nb.to_points(views.table(spark, sf, "embeddings"), "vec_id", F.col("embedding"))
+    k = nb.min_samples_for(points.count())
+    sample_points, _ = _embedding_points(spark, sf)
+    ref = nb.load_reference(sample_points)
+    start = nb.kth_distance(sample_points, k, ref).agg(F.max("kth_distance")).first()[0]
+    out = epsjoin.kth_distance(points, k, max(float(start or 0.0), 1e-12))
+    return out.withColumn("kth_distance", F.round("kth_distance", DIGITS))
 
 
 @register("eps_neighbor_counts", EMB_SQL + f"""
