@@ -24,18 +24,17 @@ def returns_amount(df: DataFrame, roles: dict[str, str]) -> Column:
 
 
 def marketplace_kpis(df: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """Sales KPIs plus returns, commissions and profit = revenue - commission - returns."""
-    kpis = sales_kpis(df, roles)
+    """Sales KPIs plus returns, commissions and profit = revenue - commission - returns,
+    all sums in the same pass over the table."""
     rev = amount(df, roles.get("revenue"))
     commission = amount(df, roles.get("commission"))
     returns = returns_amount(df, roles)
-    money = df.agg(
-        F.sum(returns).cast("double").alias("returns_total"),
-        F.sum(commission).cast("double").alias("commissions"),
-        F.sum(rev - commission - returns).cast("double").alias("profit"),
-    )
-    m = money.select(F.struct("returns_total", "commissions", "profit")).scalar()
-    return kpis.select("*", *[m.getField(c).alias(c) for c in ("returns_total", "commissions", "profit")])
+    kpis = sales_kpis(df, roles, extra={
+        "returns_total": F.sum(returns).cast("double"),
+        "commissions": F.sum(commission).cast("double"),
+        "profit": F.sum(rev - commission - returns).cast("double"),
+    })
+    return kpis.select("total_revenue", "orders", "average_check", "median_check", "returns_total", "commissions", "profit")
 
 
 def low_sellers(df: DataFrame, roles: dict[str, str], n: int = 10) -> DataFrame:

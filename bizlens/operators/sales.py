@@ -31,16 +31,25 @@ def order_count(df: DataFrame, roles: dict[str, str]):
     return F.count(F.lit(1))
 
 
-def sales_kpis(df: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """total_revenue, orders, average_check, median_check (median of positive revenue, 0 if none)."""
+def sales_kpis(df: DataFrame, roles: dict[str, str], extra: dict | None = None) -> DataFrame:
+    """total_revenue, orders, average_check, median_check (median of positive revenue, 0 if none).
+
+    ``extra`` adds more aggregate columns to the same pass over the table.
+    """
     require(roles, "revenue")
     rev = amount(df, roles["revenue"])
-    base = df.agg(F.sum(rev).cast("double").alias("total_revenue"), order_count(df, roles).alias("orders"))
+    extra = extra or {}
+    base = df.agg(
+        F.sum(rev).cast("double").alias("total_revenue"),
+        order_count(df, roles).alias("orders"),
+        *[c.alias(name) for name, c in extra.items()],
+    )
     positive = df.select(rev.cast("double").alias("r")).where("r > 0")
     median = exact_quantiles(positive, "r", [0.5], names=["m"]).select("m").scalar()
     return base.select(
         "total_revenue",
         "orders",
+        *extra.keys(),
         F.when(F.col("orders") > 0, F.col("total_revenue") / F.col("orders")).otherwise(F.lit(0.0)).alias("average_check"),
         F.coalesce(median, F.lit(0.0)).alias("median_check"),
     )
