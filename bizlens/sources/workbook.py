@@ -3,12 +3,15 @@
 A Python Data Source (``spark.read.format("xlsx")``): each input partition is
 one workbook, read with the standard library (the file is a zip of XML
 parts). Cells come back as text (shared strings resolved, inline strings and
-numbers as written); the first row is the header, named pandas-style. Types
-are then inferred with the same pass as the CSV reader.
+numbers as written, numbers under a date number format as
+``yyyy-MM-dd HH:mm:ss``); the first row is the header, named pandas-style.
+Types are then inferred with the same pass as the CSV reader, and columns of
+date cells become timestamps.
 """
 
 from __future__ import annotations
 
+import datetime
 import glob
 import os
 import re
@@ -20,6 +23,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+# Built-in number formats that show dates or times (ECMA-376 numFmtId).
+DATE_FORMAT_IDS = frozenset(range(14, 23)) | frozenset(range(45, 48))
+EPOCH_1900 = datetime.datetime(1899, 12, 30)
+EPOCH_1904 = datetime.datetime(1904, 1, 1)
 REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -44,8 +51,35 @@ def _first_sheet_name(z: zipfile.ZipFile) -> str:
     return "xl/worksheets/sheet1.xml"
 
 
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Cell style indexes whose number format shows a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    styles = ET.fromstring(z.read("xl/styles.xml"))
+    custom = set()
+    for fmt in styles.findall("m:numFmts/m:numFmt", NS):
+        code = re.sub(r'"[^"]*"|\\.|\[[^]]*\]', "", fmt.get("formatCode", "")).lower()
+        if any(ch in code for ch in "dyhs") or ("m" in code and "0" not in code):
+            custom.add(int(fmt.get("numFmtId")))
+    out = set()
+    for i, xf in enumerate(styles.findall("m:cellXfs/m:xf", NS)):
+        fid = int(xf.get("numFmtId", "0"))
+        if fid in DATE_FORMAT_IDS or fid in custom:
+            out.add(i)
+    return out
+
+
+def _serial_to_text(value: str, epoch: datetime.datetime) -> str:
+    moment = epoch + datetime.timedelta(days=float(value))
+    return moment.replace(microsecond=0).strftime("%Y-%m-%d %H:%M:%S")
+
+
 def read_sheet_rows(path: str) -> list[list[str | None]]:
     with zipfile.ZipFile(path) as z:
+        date_styles = _date_styles(z)
+        wb = ET.fromstring(z.read("xl/workbook.xml"))
+        pr = wb.find("m:workbookPr", NS)
+        epoch = EPOCH_1904 if pr is not None and pr.get("date1904") in ("1", "true") else EPOCH_1900
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", NS):
@@ -63,6 +97,8 @@ def read_sheet_rows(path: str) -> list[list[str | None]]:
                     text = "".join(t.text or "" for t in c.iter(f"{{{NS['m']}}}t"))
                 else:
                     text = v.text if v is not None else None
+                    if text is not None and kind in (None, "n") and int(c.get("s", "0")) in date_styles:
+                        text = _serial_to_text(text, epoch)
                 values[_col_index(c.get("r"))] = text
             width = max(values) + 1 if values else 0
             rows.append([values.get(i) for i in range(width)])
@@ -124,4 +160,13 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(WorkbookDataSource)
     raw = spark.read.format("xlsx").load(path)
     cleaned = raw.select(*[F.when(F.trim(col_ref(c)).isin(*NA_TOKENS), None).otherwise(col_ref(c)).alias(c) for c in raw.columns])
-    return infer_types(cleaned)
+    typed = infer_types(cleaned)
+    # date-formatted cells arrive as "yyyy-MM-dd HH:mm:ss": such columns become timestamps (one aggregate)
+    text_cols = [f.name for f in typed.schema.fields if f.dataType.typeName() == "string"]
+    if not text_cols:
+        return typed
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    row = typed.agg(*[F.count(col_ref(c)).alias(f"n{i}") for i, c in enumerate(text_cols)],
+                    *[F.count(F.try_to_timestamp(col_ref(c), F.lit(stamp))).alias(f"t{i}") for i, c in enumerate(text_cols)]).first()
+    dated = [c for i, c in enumerate(text_cols) if row[f"n{i}"] and row[f"n{i}"] == row[f"t{i}"]]
+    return typed.withColumns({c: F.try_to_timestamp(col_ref(c), F.lit(stamp)) for c in dated}) if dated else typed

@@ -80,3 +80,23 @@ def test_stream_ingest(spark, tmp_dir):
     q.awaitTermination(120)
     runs = spark.read.parquet(out).collect()
     assert len(runs) == 2 and all('"missing_total":1' in r["payload"] for r in runs)
+
+
+def test_workbook_date_cells(spark, tmp_dir):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    path = os.path.join(tmp_dir, "d.xlsx")
+    sheet = (f'<worksheet {ns}><sheetData>'
+             '<row r="1"><c r="A1" t="inlineStr"><is><t>when</t></is></c><c r="B1" t="inlineStr"><is><t>qty</t></is></c></row>'
+             '<row r="2"><c r="A2" s="1"><v>45292</v></c><c r="B2"><v>3</v></c></row>'
+             '<row r="3"><c r="A3" s="1"><v>45293.5</v></c><c r="B3"><v>4</v></c></row>'
+             '</sheetData></worksheet>')
+    styles = f'<styleSheet {ns}><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S" sheetId="1"/></sheets></workbook>')
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    df = read_workbooks(spark, path)
+    types = dict(df.dtypes)
+    assert types["when"].startswith("timestamp") and types["qty"] == "bigint"
+    got = sorted(str(r["when"]) for r in df.collect())
+    assert got == ["2024-01-01 00:00:00", "2024-01-02 12:00:00"]
