@@ -23,6 +23,27 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for ~100 TB inputs on a large cluster. Shuffle partitions are set
+# high and AQE coalesces them down to the advisory size at runtime, so small
+# intermediate results do not end up as thousands of tiny tasks; scan splits
+# of 256 MB keep the task count of a 100 TB scan near 400k; skewed shuffle
+# partitions (5x the median and over 512 MB) are split by AQE.
+SCALE_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
+def apply_scale_conf(spark: SparkSession) -> None:
+    """Apply ``SCALE_CONF`` to a running session (runtime SQL settings only)."""
+    for key, value in SCALE_CONF.items():
+        spark.conf.set(key, value)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "bizlens") -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
