@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from bizlens.llm import exact_stream, langid, mixing, pieces, secret_scan, sharding, url_rules
+from pyspark.sql import functions as F
+
+from bizlens.llm import embedding_tiles, exact_stream, langid, line_alignment, mixing, order_minhash, pieces, secret_scan, sharding, url_rules
 from bizlens.llm.common import batch_rows, read_table
 from bizlens.llm.registry import ORACLE, QUERIES, register
 
@@ -25,6 +27,20 @@ def op1(spark, sf_dir):
     return secret_scan.span_digests(secret_scan.scan_documents(read_table(spark, sf_dir, "documents")))
 
 
+@register("op2_line_alignment")
+def op2(spark, sf_dir):
+    batch_rows(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    cut = line_alignment.delete_repeated_blocks(docs.select("doc_id", "text"), count="deleted_lines")
+    return cut.select("doc_id", "deleted_lines", "text")
+
+
+@register("op3_order_minhash")
+def op3(spark, sf_dir):
+    batch_rows(spark)
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 @register("op4_word_first_language")
 def op4(spark, sf_dir):
     batch_rows(spark)
@@ -53,6 +69,21 @@ def op7(spark, sf_dir):
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+@register("op8_embedding_tiles", """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+       least(e.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) AS kept
+FROM embeddings e""")
+def op8(spark, sf_dir):
+    batch_rows(spark)
+    return embedding_tiles.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 @register("op9_url_rules", r"""
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
   ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
