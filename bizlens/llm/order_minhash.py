@@ -18,7 +18,7 @@ No group is expanded into pairs:
    returns the links it needed. Every colliding pair is either linked, already connected or
    rejected by a bound or its alignment; none is dropped.
 
-At the threshold itself a pair misses all 16 sketches with a chance of about 1e-5.
+At the threshold itself a pair misses all sketches with a chance of about 3e-5.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased; fewer than
 five words make one k-mer; texts without any word are copies when equal and not blank; NULL and
@@ -44,12 +44,14 @@ from bizlens.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 16
-MINIMA = 3
+SKETCHES = 20
+MINIMA = 4
 #: Word hashes remembered per task.
 WORD_CACHE = 300_000
 #: Texts on either side of a block comparison, and k-mer columns of one matrix product.
-BLOCK = 128
+BLOCK = 512
+#: Rows of small buckets compared in one call.
+PACK_ROWS = 1000
 COLUMNS = 4096
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -204,30 +206,39 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+class _Joined(dict):
+    """Union-find over component names."""
+
+    def root(self, x: str) -> str:
+        while self.setdefault(x, x) != x:
+            self[x] = self[self[x]]
+            x = self[x]
+        return x
+
+
+def _cross_links(minor: pd.DataFrame, other: pd.DataFrame, joined: _Joined) -> list[tuple[str, str]]:
+    ka, kb = [np.asarray(x) for x in minor["kmers"]], [np.asarray(x) for x in other["kmers"]]
+    na, nb = np.array([len(x) for x in ka]), np.array([len(x) for x in kb])
+    possible = shared_counts(ka, kb) >= SIMILARITY * (na[:, None] + nb[None, :]) / (1 + SIMILARITY) - 1e-6
+    keys_a, keys_b = minor["key"].to_numpy(), other["key"].to_numpy()
+    comp_a, comp_b = minor["component"].to_numpy(), other["component"].to_numpy()
+    found = []
+    for i, j in zip(*np.nonzero(possible)):
+        x, y = joined.root(comp_a[i]), joined.root(comp_b[j])
+        if x != y and aligned_similarity(ka[i], kb[j]) >= SIMILARITY:
+            joined[x] = y
+            found.append((keys_a[i], keys_b[j]))
+    return found
+
+
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between the block's texts outside the largest component and all its texts."""
-    minor, other = pdf[pdf["minor_side"]], pdf[~pdf["minor_side"]]
-    found: list[tuple[str, str]] = []
-    if len(minor) and len(other):
-        ka, kb = [np.asarray(x) for x in minor["kmers"]], [np.asarray(x) for x in other["kmers"]]
-        na, nb = np.array([len(x) for x in ka]), np.array([len(x) for x in kb])
-        shared = shared_counts(ka, kb)
-        possible = shared >= SIMILARITY * (na[:, None] + nb[None, :]) / (1 + SIMILARITY) - 1e-6
-        keys_a, keys_b = minor["key"].to_numpy(), other["key"].to_numpy()
-        parent: dict[str, str] = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        comp_a, comp_b = minor["component"].to_numpy(), other["component"].to_numpy()
-        for i, j in zip(*np.nonzero(possible)):
-            x, y = root(comp_a[i]), root(comp_b[j])
-            if x != y and aligned_similarity(ka[i], kb[j]) >= SIMILARITY:
-                parent[x] = y
-                found.append((keys_a[i], keys_b[j]))
+    """Links between texts outside the largest component of a bucket and all its texts, for a pair
+    of blocks of one bucket or for a pack of small buckets."""
+    joined, found = _Joined(), []
+    for _, rows in pdf.groupby(["j", "v"], sort=False):
+        side = rows["minor_side"].to_numpy()
+        if side.any() and not side.all():
+            found += _cross_links(rows[side], rows[~side], joined)
     return pd.DataFrame(found, columns=["a", "b"])
 
 
@@ -264,14 +275,14 @@ def _bucket_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     mixed = by_component.groupBy("j", "v").agg(F.max(F.struct("here", "component")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
     rows = placed.join(mixed.select("j", "v", F.col("top.component").alias("largest")), ["j", "v"])
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    rows = materialize(rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    minor = rows.where("component <> largest").select("j", "v", "key", "component", F.lit(True).alias("minor_side"), F.col("block").alias("minor_block"), every.alias("other_block"))
-    other = rows.select("j", "v", "key", "component", F.lit(False).alias("minor_side"), every.alias("minor_block"), F.col("block").alias("other_block"))
-    # a block without texts outside the largest component has nothing to compare
-    needed = minor.select("j", "v", "minor_block").distinct()
-    both = minor.unionByName(other.join(needed, ["j", "v", "minor_block"], "left_semi")).join(kmer_rows, "key")
-    more = both.groupBy("j", "v", "minor_block", "other_block").applyInPandas(_block_links, "a string, b string")
+    minor = rows.where("component <> largest").select("j", "v", "key", "component", "blocks", F.lit(True).alias("minor_side"), F.col("block").alias("minor_block"), every.alias("other_block"))
+    other = rows.select("j", "v", "key", "component", "blocks", F.lit(False).alias("minor_side"), every.alias("minor_block"), F.col("block").alias("other_block"))
+    packs = max(1, rows.count() // PACK_ROWS)
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("j", "v"), F.lit(packs))).otherwise(F.xxhash64("j", "v", "minor_block", "other_block"))
+    both = minor.unionByName(other).withColumn("pack", pack).join(kmer_rows, "key")
+    more = both.select("pack", "blocks", "j", "v", "minor_side", "key", "component", "kmers").groupBy("blocks", "pack").applyInPandas(_block_links, "a string, b string")
     return links.unionByName(materialize(more))
 
 
