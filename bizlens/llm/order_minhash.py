@@ -149,12 +149,12 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return matched / (n + m - matched)
 
 
-def content_key(text: str | None) -> str | None:
+def content_key(text: str | None) -> bytes | None:
     """Key shared by texts with the same words; NULL for blank texts."""
     if text is None or not text.strip():
         return None
     words = " ".join(_WORD.findall(text.lower()))
-    return hashlib.md5(words.encode() if words else b"\0" + text.encode()).hexdigest()
+    return hashlib.md5(words.encode() if words else b"\0" + text.encode()).digest()
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,10 +167,15 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
+def short_kmers(text: str | None, hashes: dict) -> np.ndarray:
+    """The labelled k-mers cut to 32 bits, which is enough within a pair of texts and halves what is moved."""
+    return (kmers(text, hashes) >> _U(32)).astype(np.uint32).view(np.int32)
+
+
 def _kmer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = _WordHashes()
     for pdf in batches:
-        yield pd.DataFrame({"key": [content_key(t) for t in pdf["text"]], "kmers": [kmers(t, hashes).view(np.int64) for t in pdf["text"]]})
+        yield pd.DataFrame({"key": [content_key(t) for t in pdf["text"]], "kmers": [short_kmers(t, hashes) for t in pdf["text"]]})
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,14 +214,14 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 class _Joined(dict):
     """Union-find over component names."""
 
-    def root(self, x: str) -> str:
+    def root(self, x: bytes) -> bytes:
         while self.setdefault(x, x) != x:
             self[x] = self[self[x]]
             x = self[x]
         return x
 
 
-def _cross_links(minor: pd.DataFrame, other: pd.DataFrame, joined: _Joined) -> list[tuple[str, str]]:
+def _cross_links(minor: pd.DataFrame, other: pd.DataFrame, joined: _Joined) -> list[tuple[bytes, bytes]]:
     ka, kb = [np.asarray(x) for x in minor["kmers"]], [np.asarray(x) for x in other["kmers"]]
     na, nb = np.array([len(x) for x in ka]), np.array([len(x) for x in kb])
     possible = shared_counts(ka, kb) >= SIMILARITY * (na[:, None] + nb[None, :]) / (1 + SIMILARITY) - 1e-6
@@ -256,7 +261,7 @@ def _bucket_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     scores = members.groupBy("key").agg(F.first("place").alias("place"), F.sum("size").alias("score"))
     wanted = materialize(scores.select("key", "place"))
     kmer_rows = materialize(
-        texts.join(wanted.select("place").distinct(), "place", "left_semi").select("text").mapInPandas(_kmer_rows, "key string, kmers array<long>")
+        texts.join(wanted.select("place").distinct(), "place", "left_semi").select("text").mapInPandas(_kmer_rows, "key binary, kmers array<int>")
         .dropDuplicates(["key"]).join(wanted.select("key"), "key", "left_semi"))
 
     # one centre per bucket; a pair is compared once however many sketches it shares
@@ -266,7 +271,7 @@ def _bucket_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = members.join(centres, ["j", "v"]).where((F.col("key") != F.col("b")) & near).select(F.col("key").alias("a"), "b").distinct()
     sided = pairs.join(kmer_rows.select(F.col("key").alias("a"), F.col("kmers").alias("kmers_a")), "a").join(
         kmer_rows.select(F.col("key").alias("b"), F.col("kmers").alias("kmers_b")), "b")
-    links = materialize(sided.select("a", "b", "kmers_a", "kmers_b").mapInPandas(_verify, "a string, b string"))
+    links = materialize(sided.select("a", "b", "kmers_a", "kmers_b").mapInPandas(_verify, "a binary, b binary"))
 
     # buckets with several components left
     components = _components_of(wanted.select("key"), links)
@@ -282,7 +287,7 @@ def _bucket_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     packs = max(1, rows.count() // PACK_ROWS)
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("j", "v"), F.lit(packs))).otherwise(F.xxhash64("j", "v", "minor_block", "other_block"))
     both = minor.unionByName(other).withColumn("pack", pack).join(kmer_rows, "key")
-    more = both.select("pack", "blocks", "j", "v", "minor_side", "key", "component", "kmers").groupBy("blocks", "pack").applyInPandas(_block_links, "a string, b string")
+    more = both.select("pack", "blocks", "j", "v", "minor_side", "key", "component", "kmers").groupBy("blocks", "pack").applyInPandas(_block_links, "a binary, b binary")
     return links.unionByName(materialize(more))
 
 
@@ -290,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, place (hash of the text), class_id, class_size, kept."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("place"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketched = materialize(texts.mapInPandas(_sketch, f"id {id_type}, place long, key string, n int, sketch array<long>"))
+    sketched = materialize(texts.mapInPandas(_sketch, f"id {id_type}, place long, key binary, n int, sketch array<long>"))
     worded = sketched.where(F.col("sketch").isNotNull()).groupBy("key").agg(F.first(F.struct("place", "n", "sketch")).alias("r")).select("key", "r.*")
     links = _bucket_links(worded, texts.select("place", "text").where(F.col("text").isNotNull()))
     components = connected_components(links)
