@@ -72,6 +72,8 @@ def stream_groups(spark: SparkSession, path: str, id_col: str = "doc_id", text_c
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # one store per shuffle partition: without preallocation a small store takes little disk
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }.items():
         session.conf.set(key, value)
     # a pattern instead of the plain path: the source may be one file or a folder of files
