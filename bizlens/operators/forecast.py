@@ -20,10 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bizlens.functions.expr import col_ref, is_date_type
 from bizlens.operators.common import amount
 from bizlens.operators.sales import require
-from bizlens.operators.typing import choose_date_patterns, parse_timestamp
+from bizlens.operators.timeseries import date_value
 
 MIN_HISTORY = 10
 HORIZON = 30
@@ -33,20 +32,11 @@ METHOD_MA = "скользящее среднее"
 METHOD_SEASONAL = "тренд и недельная сезонность"
 
 
-def _date_expr(df: DataFrame, name: str) -> Column:
-    dtype = df.schema[name].dataType
-    if is_date_type(dtype):
-        return col_ref(name)
-    chosen = choose_date_patterns(df.select(col_ref(name).cast("string").alias("date")), min_share=0.0)
-    pattern = chosen.get("date")
-    return parse_timestamp(col_ref(name).cast("string"), pattern) if pattern else F.lit(None).cast("timestamp")
-
-
 def history(df: DataFrame, roles: dict[str, str], min_points: int = MIN_HISTORY) -> DataFrame:
     """(ds, y): revenue summed per exact timestamp over rows with both values;
     empty when fewer than ``min_points`` timestamps exist."""
     require(roles, "date", "revenue")
-    ds = _date_expr(df, roles["date"])
+    ds = date_value(df, roles["date"])
     y = amount(df, roles["revenue"], fill_zero=False)
     h = df.select(ds.alias("ds"), y.alias("y")).where(F.col("ds").isNotNull() & F.col("y").isNotNull())
     h = h.groupBy("ds").agg(F.sum("y").alias("y"))

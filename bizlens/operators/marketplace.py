@@ -47,24 +47,23 @@ def low_sellers(df: DataFrame, roles: dict[str, str], n: int = 10) -> DataFrame:
 def pareto_core(df: DataFrame, roles: dict[str, str], share: float = 0.8) -> DataFrame:
     """Products whose cumulative revenue share (revenue descending) stays within ``share``.
 
-    The cumulative sum runs over integral cents with the distributed
-    ``running_total`` so the boundary decision is exact and no step needs a
-    single partition.
+    Revenue is summed exactly in the column's own type first: decimals then run as
+    integral units of their scale through the distributed ``running_total``, other
+    types as doubles. No row is rounded and no step needs a single partition.
     """
     require(roles, "revenue", "product")
     key = roles["product"]
-    rev = amount(df, roles["revenue"])
-    cents = F.round(rev.cast("decimal(38,2)") * 100).cast("long")
-    per_product = (
-        df.where(col_ref(key).isNotNull())
-        .groupBy(col_ref(key).alias(key))
-        .agg(F.sum(cents).alias("cents"))
-    )
-    ranked = running_total(per_product, [F.col("cents").desc(), F.col(key).asc()], "cents", out="cum_cents")
-    total = per_product.select(F.sum("cents")).scalar()
-    limit = F.greatest(total.cast("double") / 100.0, F.lit(1.0))
-    return ranked.where((F.col("cum_cents").cast("double") / 100.0) / limit <= F.lit(share)).select(
-        F.col(key), (F.col("cents").cast("double") / 100.0).alias("revenue")
+    dtype = df.schema[roles["revenue"]].dataType
+    scale = dtype.scale if isinstance(dtype, T.DecimalType) else None
+    revenue = F.sum(amount(df, roles["revenue"]))
+    units = (revenue * F.lit(10**scale)).cast("decimal(38,0)").cast("long") if scale is not None else revenue.cast("double")
+    divisor = float(10**scale) if scale is not None else 1.0
+    per_product = df.where(col_ref(key).isNotNull()).groupBy(col_ref(key).alias(key)).agg(units.alias("units"))
+    ranked = running_total(per_product, [F.col("units").desc(), F.col(key).asc()], "units", out="cum_units")
+    total = per_product.select(F.sum("units")).scalar()
+    limit = F.greatest(total.cast("double") / divisor, F.lit(1.0))
+    return ranked.where((F.col("cum_units").cast("double") / divisor) / limit <= F.lit(share)).select(
+        F.col(key), (F.col("units").cast("double") / divisor).alias("revenue")
     )
 
 

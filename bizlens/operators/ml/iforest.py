@@ -166,5 +166,9 @@ def isolation_forest(df: DataFrame, top: int = 30, trees: int = TREES, seed: int
     nodes, psi = fit(feats, len(cols), n, trees=trees, seed=seed)
     scored = score(feats, nodes, psi, len(cols))
     flagged = scored.where(F.col("score") > 0.5).orderBy(F.col("score").desc(), F.col(KEY)).limit(top)
-    # the flagged keys are at most ``top`` rows
-    return feats.join(F.broadcast(flagged), KEY).drop(*[f"_f{i}" for i in range(len(cols))])
+    # identical rows share a key: count the flagged ones per key (at most ``top`` keys), fetch
+    # each key once and repeat it as often as it was flagged
+    counted = flagged.groupBy(KEY, "score").agg(F.count(F.lit(1)).alias("_copies"))
+    rows = feats.join(F.broadcast(counted), KEY).dropDuplicates([KEY])
+    rows = rows.withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).drop("_copies")
+    return rows.drop(*[f"_f{i}" for i in range(len(cols))])

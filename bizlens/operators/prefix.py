@@ -116,7 +116,12 @@ def running_total(
     if not group_cols:
         # one row per range partition: bounded by the partition count
         offsets = F.broadcast(offsets)
-    joined = local.join(offsets, keys, "left")
+    # NULL groups are groups like any other
+    left, right = local.alias("l"), offsets.alias("o")
+    same = F.col(f"l.{PID}") == F.col(f"o.{PID}")
+    for g in group_cols:
+        same = same & F.col(f"l.`{g}`").eqNullSafe(F.col(f"o.`{g}`"))
+    joined = left.join(right, same, "left").select("l.*", "o._slice_offset")
     return joined.withColumn(out, F.col(LOCAL) + F.coalesce(F.col("_slice_offset"), F.lit(0))).drop(LOCAL, PID, "_slice_offset")
 
 
@@ -149,7 +154,10 @@ def exact_quantiles(
 
     if group_cols:
         totals = ranked.groupBy(*group_cols).agg(F.max("_qend").alias("_qtotal"))
-        ranked = ranked.join(totals, group_cols)
+        same = F.lit(True)
+        for g in group_cols:
+            same = same & F.col(f"r.`{g}`").eqNullSafe(F.col(f"t.`{g}`"))
+        ranked = ranked.alias("r").join(totals.alias("t"), same).select("r.*", "t._qtotal")
         total = F.col("_qtotal")
     else:
         total = ranked.select(F.max("_qend")).scalar()

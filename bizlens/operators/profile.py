@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizlens.functions.expr import col_ref, is_numeric_type, to_number, unbiased_skew
-from bizlens.operators.common import amount, materialize, spread
+from bizlens.operators.common import amount, materialize
 from bizlens.operators.prefix import exact_quantiles
 from bizlens.operators.rules import missing_cells
 from bizlens.operators.typing import choose_value_column, column_kinds
@@ -177,16 +177,18 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         for j, b in enumerate(cols)
         if j >= i
     ]
-    pairs = spread(numbers).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    pairs = numbers.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
     # p(p+1)/2 rows, read several times below: computed once
     stats = materialize(pairs.groupBy("i", "j").agg(
-        F.covar_samp("a", "b").alias("cov"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb")
+        F.covar_samp("a", "b").alias("cov"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb"),
+        # exact test for constant sides: merged moments of a constant can differ from 0
+        ((F.min("a") < F.max("a")) & (F.min("b") < F.max("b"))).alias("varies"),
     ))
-    r = F.when(F.col("i") == F.col("j"), F.when(F.col("sa") > 0, F.lit(1.0))).otherwise(
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
         F.try_divide(F.col("cov"), F.col("sa") * F.col("sb"))
     )
-    upper = stats.select("i", "j", F.when(~F.isnan(r), r).alias("corr"))
+    upper = stats.select("i", "j", F.when(F.col("varies") & ~F.isnan(r), r).alias("corr"))
     # every (i, j) pair, present in the data or not
     grid = df.sparkSession.createDataFrame([(i, j) for i in range(len(cols)) for j in range(len(cols))], "i int, j int")
     names = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(i), F.lit(c))])

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.expr import col_ref
 from bizlens.operators.common import amount, group_sum, materialize, top_k
-from bizlens.operators.forecast import _date_expr
 from bizlens.operators.sales import order_count
+from bizlens.operators.timeseries import date_value
 
 
 def category_options(df: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -27,7 +27,7 @@ def filter_categories(df: DataFrame, roles: dict[str, str], selected: Sequence[s
 
 
 def date_bounds(df: DataFrame, roles: dict[str, str]) -> DataFrame:
-    d = F.to_date(_date_expr(df, roles["date"]))
+    d = F.to_date(date_value(df, roles["date"]))
     return df.agg(F.min(d).alias("min_date"), F.max(d).alias("max_date"))
 
 
@@ -35,7 +35,7 @@ def filter_dates(df: DataFrame, roles: dict[str, str], start: str, end: str) ->
     """Rows whose day lies in [start, end]; rows without a date are dropped."""
     if "date" not in roles:
         return df
-    d = F.to_date(_date_expr(df, roles["date"]))
+    d = F.to_date(date_value(df, roles["date"]))
     return df.where(d.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
@@ -48,7 +48,7 @@ def slice_kpis(df: DataFrame, roles: dict[str, str]) -> DataFrame:
 
 def timeline(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Revenue per exact timestamp, no gap filling."""
-    ds = _date_expr(df, roles["date"])
+    ds = date_value(df, roles["date"])
     return (
         df.where(ds.isNotNull())
         .groupBy(ds.alias("ds"))

@@ -11,11 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.functions.expr import col_ref
+from bizlens.functions.expr import col_ref, is_date_type
+from bizlens.operators.typing import choose_date_patterns, parse_timestamp
+
+
+def date_value(df: DataFrame, date_col: str) -> Column:
+    """The column itself if it is a date or timestamp; text is parsed with the pattern that
+    parses most of its values (day first), NULL where it does not fit."""
+    if is_date_type(df.schema[date_col].dataType):
+        return col_ref(date_col)
+    text = col_ref(date_col).cast("string")
+    pattern = choose_date_patterns(df.select(text.alias("date")), min_share=0.0).get("date")
+    return parse_timestamp(text, pattern) if pattern else F.lit(None).cast("timestamp")
 
 
 def day_of(df: DataFrame, date_col: str) -> Column:
-    return F.to_date(col_ref(date_col))
+    return F.to_date(date_value(df, date_col))
 
 
 def _spine(bins: DataFrame, key: str, step: str) -> DataFrame:
