@@ -165,9 +165,10 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _frequent(counts: DataFrame, table_size: int) -> pd.DataFrame:
     """The most frequent items with their counts per language: at most ``table_size`` items."""
     totals = counts.groupBy("item").agg(F.sum("n").alias("total"))
-    by_count = totals.groupBy("total").agg(F.count(F.lit(1)).alias("items")).orderBy(F.desc("total")).toLocalIterator()
+    # one row per distinct count of a bounded sample
+    by_count = totals.groupBy("total").agg(F.count(F.lit(1)).alias("items")).collect()
     least, room = None, table_size
-    for row in by_count:  # one row per distinct count, largest first
+    for row in sorted(by_count, key=lambda r: -r["total"]):
         room -= row["items"]
         if room < 0:
             break
