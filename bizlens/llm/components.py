@@ -4,15 +4,28 @@ Every round is two aggregations (smallest neighbour per node) and joins, so a no
 of all edges is pre-aggregated like any other key. The loop ends when the edges no longer
 change; then every node hangs directly below the smallest node of its component. It never
 returns earlier: should ``max_rounds`` not suffice, it raises.
+
+A round is many short stages over light rows, so the edges are read in as many tasks as their
+number needs (``EDGES_PER_TASK``) rather than in one per shuffle partition.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.llm.common import materialize
 
+EDGES_PER_TASK = 20_000
+
+
+def _stored(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """``edges`` computed once, read in tasks of about ``EDGES_PER_TASK`` rows (``rows``: their number, where known)."""
+    edges = materialize(edges)
+    return edges.coalesce(max(1, math.ceil((edges.count() if rows is None else rows) / EDGES_PER_TASK)))
+
 
 def _state(edges: DataFrame):
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -38,11 +51,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b, not NULL); the component is
     its smallest node. Self-links and repeated edges are allowed; no edges give no rows."""
     nodes = edges.where("a = b").select("a").distinct()
-    current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    current = _stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(current)
     if before[0]:
         for _ in range(max_rounds):
-            current = materialize(_small_star(_large_star(current)))
+            # neither star has more edges than it is given
+            current = _stored(_small_star(_stored(_large_star(current), before[0])), before[0])
             after = _state(current)
             if after == before:
                 break

@@ -225,20 +225,19 @@ def _cross_links(minor: pd.DataFrame, other: pd.DataFrame, joined: _Joined) -> l
     ka, kb = [np.asarray(x) for x in minor["kmers"]], [np.asarray(x) for x in other["kmers"]]
     na, nb = np.array([len(x) for x in ka]), np.array([len(x) for x in kb])
     possible = shared_counts(ka, kb) >= SIMILARITY * (na[:, None] + nb[None, :]) / (1 + SIMILARITY) - 1e-6
-    keys_a, keys_b = minor["key"].to_numpy(), other["key"].to_numpy()
     comp_a, comp_b = minor["component"].to_numpy(), other["component"].to_numpy()
     found = []
     for i, j in zip(*np.nonzero(possible)):
         x, y = joined.root(comp_a[i]), joined.root(comp_b[j])
         if x != y and aligned_similarity(ka[i], kb[j]) >= SIMILARITY:
             joined[x] = y
-            found.append((keys_a[i], keys_b[j]))
+            found.append((comp_a[i], comp_b[j]))
     return found
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between texts outside the largest component of a bucket and all its texts, for a pair
-    of blocks of one bucket or for a pack of small buckets."""
+    """Links between the components of texts outside the largest component of a bucket and of all
+    its texts, for a pair of blocks of one bucket or for a pack of small buckets."""
     joined, found = _Joined(), []
     for _, rows in pdf.groupby(["j", "v"], sort=False):
         side = rows["minor_side"].to_numpy()
@@ -253,8 +252,9 @@ def _components_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(found, nodes["key"] == found["node"], "left").select("key", F.coalesce("component", "key").alias("component")))
 
 
-def _bucket_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links between the candidate nodes (key, place, n, sketch) that decide their components."""
+def _components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of the candidate nodes (key, place, n, sketch): linked with the centres
+    first, then what the block comparison joins, as links between those components."""
     members = nodes.select("key", "place", "n", F.posexplode("sketch").alias("j", "v"))
     sizes = members.groupBy("j", "v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(members.join(sizes, ["j", "v"]))
@@ -287,8 +287,9 @@ def _bucket_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     packs = max(1, rows.count() // PACK_ROWS)
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("j", "v"), F.lit(packs))).otherwise(F.xxhash64("j", "v", "minor_block", "other_block"))
     both = minor.unionByName(other).withColumn("pack", pack).join(kmer_rows, "key")
-    more = both.select("pack", "blocks", "j", "v", "minor_side", "key", "component", "kmers").groupBy("blocks", "pack").applyInPandas(_block_links, "a binary, b binary")
-    return links.unionByName(materialize(more))
+    more = materialize(both.select("pack", "blocks", "j", "v", "minor_side", "component", "kmers").groupBy("blocks", "pack").applyInPandas(_block_links, "a binary, b binary"))
+    merged = connected_components(more).select("node", F.col("component").alias("top"))
+    return components.join(merged, F.col("component") == F.col("node"), "left").select(F.col("key").alias("node"), F.coalesce("top", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,8 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     sketched = materialize(texts.mapInPandas(_sketch, f"id {id_type}, place long, key binary, n int, sketch array<long>"))
     worded = sketched.where(F.col("sketch").isNotNull()).groupBy("key").agg(F.first(F.struct("place", "n", "sketch")).alias("r")).select("key", "r.*")
-    links = _bucket_links(worded, texts.select("place", "text").where(F.col("text").isNotNull()))
-    components = connected_components(links)
+    components = _components(worded, texts.select("place", "text").where(F.col("text").isNotNull()))
     rows = sketched.select("id", "place", "key")
     classed = rows.where(F.col("key").isNotNull()).join(components, F.col("key") == F.col("node"), "left").select("id", "place", F.coalesce("component", "key").alias("class"))
     first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("place")))
