@@ -192,18 +192,24 @@ def kth_distance(points: DataFrame, k: int, radius: float, block: int = BLOCK, m
     itself included) for every point of the whole table.
 
     Points whose k nearest lie within ``radius`` are answered in the first
-    round; the rest are retried with a doubled radius. Every round keeps at
-    most k candidates per point and block, and the pending points are
-    checkpointed between rounds.
+    round; the rest are retried with a doubled radius, at last with one that
+    spans all points, so every point is answered. With fewer than k points it
+    is the distance to the farthest. Every round keeps at most k candidates
+    per point and block, and the pending points are checkpointed between rounds.
     """
     from pyspark.sql import Window
 
     from bizlens.operators.common import materialize
 
     pending = materialize(points.select(ID, VEC))
+    k = max(1, min(k, points.count()))
+    ranges = points.select(F.posexplode(VEC)).groupBy("pos").agg((F.max("col") - F.min("col")).alias("w"))
+    widest = ranges.agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("d")).first()["d"] or 0.0
     done = []
     r = float(radius)
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
+        if i == max_rounds - 1:
+            r = max(r, widest * (1 + 1e-6))
         cand = _nearest_within(pending, points, r, k, block, max_pivots)
         # at most k per point and partition cross the shuffle (partial group limit)
         w = Window.partitionBy(ID).orderBy("d")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bizlens.operators.ml import cluster, explain, iforest
 from bizlens.operators.ml import neighbors as nb
-from bizlens.operators.ml.prep import KEY, bounded_sample, numeric_matrix, scale, with_row_key
+from bizlens.operators.ml.prep import KEY, bounded_sample, numeric_matrix, scale
 from bizlens.plans.oracle import with_views as W
 from bizlens.plans.registry import register
 from bizlens.sources import views
@@ -60,15 +60,13 @@ def q_pca_variance(spark, sf):
 @register("kmeans_best_k")
 def q_kmeans_best_k(spark, sf):
     prep = cluster.prepare(views.numeric_mix(spark, sf))
-    res = cluster.kmeans_best_k(prep.sample)
+    res = cluster.kmeans_best_k(cluster.numbered(prep.scaled))
     rows = [(k, s, k == res.k) for k, s in sorted(res.scores.items())]
     return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
 
 
 def _embedding_points(spark, sf):
-    e = with_row_key(views.table(spark, sf, "embeddings"))
-    sample = bounded_sample(e)
-    return nb.to_points(sample, "vec_id", F.col("embedding")), sample
+    return nb.to_points(views.table(spark, sf, "embeddings"), "vec_id", F.col("embedding"))
 
 
 EMB_SQL = """
@@ -81,17 +79,12 @@ r AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist)
 k AS (SELECT greatest(5, CAST(floor(ln(count(*))) AS INTEGER)) AS k FROM p)
 SELECT vec_id AS id, round(dist, 9) AS kth_distance FROM r WHERE rn = (SELECT k FROM k)""")
 def q_knn_distance(spark, sf):
-    """Exact k-distance (k = max(5, int(ln n)), self included) of every embedding,
-    whole table. The starting radius is the largest k-distance inside the
-    bounded hash sample; points not answered within it retry with 2x radius."""
+    """Exact k-distance (k = max(5, int(ln n)), self included) of every embedding, whole table."""
     from bizlens.operators.ml import epsjoin
 
-    points = nb.to_points(views.table(spark, sf, "embeddings"), "vec_id", F.col("embedding"))
+    points = _embedding_points(spark, sf)
     k = nb.min_samples_for(points.count())
-    sample_points, _ = _embedding_points(spark, sf)
-    ref = nb.load_reference(sample_points)
-    start = nb.kth_distance(sample_points, k, ref).agg(F.max("kth_distance")).first()[0]
-    out = epsjoin.kth_distance(points, k, max(float(start or 0.0), 1e-12))
+    out = epsjoin.kth_distance(points, k, nb.start_radius(points, k))
     return out.withColumn("kth_distance", F.round("kth_distance", DIGITS))
 
 
@@ -107,17 +100,14 @@ def q_eps_neighbor_counts(spark, sf):
 
 @register("dbscan_labels")
 def q_dbscan_labels(spark, sf):
-    """DBSCAN over the whole embeddings table; eps from the k-distance of the
-    bounded hash sample (the reference's own rule), neighbour pairs exact."""
-    sample_points, _ = _embedding_points(spark, sf)
-    eps, k = nb.choose_eps(sample_points, nb.load_reference(sample_points))
-    points = nb.to_points(views.table(spark, sf, "embeddings"), "vec_id", F.col("embedding"))
-    return nb.dbscan(points, eps, k)
+    """DBSCAN over the whole embeddings table, eps from the k-distance of all its rows."""
+    points = _embedding_points(spark, sf)
+    return nb.dbscan(points, *nb.choose_eps(points))
 
 
 @register("silhouette_labels", EMB_SQL + """,
 sizes AS (SELECT label, count(*) AS n FROM p GROUP BY label),
-m AS (SELECT vec_id, la, lb, sum(dist) AS s FROM d WHERE vec_id IS NOT NULL GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, la, lb, sum(dist * dist) AS s FROM d WHERE vec_id IS NOT NULL GROUP BY 1, 2, 3),
 per AS (SELECT m.vec_id, m.la,
                max(CASE WHEN m.lb = m.la THEN m.s / greatest(sl.n - 1, 1) END) AS a,
                min(CASE WHEN m.lb <> m.la THEN m.s / so.n END) AS b,
@@ -127,18 +117,17 @@ sc AS (SELECT CASE WHEN own_n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END AS s
 SELECT CASE WHEN (SELECT count(*) FROM sizes) BETWEEN 2 AND (SELECT count(*) FROM p) - 1
             THEN round(avg(s), 9) END AS silhouette FROM sc""")
 def q_silhouette_labels(spark, sf):
-    e = with_row_key(views.table(spark, sf, "embeddings"))
-    sample = bounded_sample(e)
-    points = nb.to_points(sample, "vec_id", F.col("embedding")).join(sample.select(F.col("vec_id").alias("id"), "label"), "id")
-    return nb.silhouette(points, "label").select(F.round("silhouette", DIGITS).alias("silhouette"))
+    e = views.table(spark, sf, "embeddings")
+    points = e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    return nb.silhouette(points).select(F.round("silhouette", DIGITS).alias("silhouette"))
 
 
 @register("cluster_auto")
 def q_cluster_auto(spark, sf):
     prep = cluster.prepare(views.numeric_mix(spark, sf))
-    res = cluster.choose_clustering(prep.sample)
+    res = cluster.choose_clustering(cluster.numbered(prep.scaled))
     return spark.createDataFrame(
-        [(res.method, int(res.k), int(res.noise), res.silhouette, res.message, prep.sampled)],
+        [(res.method, int(res.k), int(res.noise), res.silhouette, res.message, False)],
         "method string, k int, noise int, silhouette double, message string, sampled boolean",
     )
 
