@@ -45,7 +45,8 @@ def compare_kpis(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def compare_dimension(first: DataFrame, second: DataFrame, role: str) -> DataFrame | None:
-    """(position, report_1, report_2, change, change_pct) aligned by a full outer join on the key."""
+    """(position, report_1, report_2, change, change_pct) aligned by a full outer join on the key,
+    the largest change first."""
     r1, r2 = detect_roles(first), detect_roles(second)
     if not all(role in r and "revenue" in r for r in (r1, r2)):
         return None
@@ -69,7 +70,7 @@ def compare_dimension(first: DataFrame, second: DataFrame, role: str) -> DataFra
         r2c.alias("report_2"),
         (r2c - r1c).alias("change"),
         pct_change(r2c, r1c).alias("change_pct"),
-    )
+    ).orderBy(F.col("change").desc(), "position")
 
 
 def compare_summary(kpis: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from bizlens.operators.timeseries import date_value
 MIN_HISTORY = 10
 HORIZON = 30
 FOURIER_ORDER = 3
+SEASONAL_WEEKS = 3
 Z80 = 1.2815515655446004
 METHOD_MA = "скользящее среднее"
 METHOD_SEASONAL = "тренд и недельная сезонность"
@@ -141,6 +142,15 @@ def seasonal_forecast(series: DataFrame, key_cols: list[str] | None = None, hori
     )
 
 
+def best_forecast(hist: DataFrame, horizon: int = HORIZON) -> tuple[DataFrame, str]:
+    """(forecast, method): the seasonal model when the history spans ``SEASONAL_WEEKS``
+    whole weeks, which its weekly terms need, else the moving average."""
+    span = hist.agg(F.datediff(F.max("ds"), F.min("ds"))).first()[0]
+    if span is not None and span >= 7 * SEASONAL_WEEKS:
+        return seasonal_forecast(hist.groupBy(F.to_date("ds").alias("ds")).agg(F.sum("y").alias("y")), horizon=horizon), METHOD_SEASONAL
+    return moving_average(hist, horizon=horizon), METHOD_MA
+
+
 def forecast_kpis(forecast: DataFrame, method: str = METHOD_MA) -> DataFrame:
     """Sums of the first 7, 14 and all 30 predicted days."""
     return forecast.agg(

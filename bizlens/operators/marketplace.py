@@ -25,10 +25,16 @@ def returns_amount(df: DataFrame, roles: dict[str, str]) -> Column:
 
 def marketplace_kpis(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Sales KPIs plus returns, commissions and profit = revenue - commission - returns,
-    all sums in the same pass over the table."""
+    all sums in the same pass over the table. Without a revenue column only returns and
+    commissions are summed and the profit is 0."""
     rev = amount(df, roles.get("revenue"))
     commission = amount(df, roles.get("commission"))
     returns = returns_amount(df, roles)
+    if "revenue" not in roles:
+        return df.agg(
+            F.coalesce(F.sum(returns).cast("double"), F.lit(0.0)).alias("returns_total"),
+            F.coalesce(F.sum(commission).cast("double"), F.lit(0.0)).alias("commissions"),
+        ).withColumn("profit", F.lit(0.0))
     kpis = sales_kpis(df, roles, extra={
         "returns_total": F.sum(returns).cast("double"),
         "commissions": F.sum(commission).cast("double"),

@@ -36,12 +36,6 @@ PID = "_slice_pid"
 LOCAL = "_slice_local"
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _group_ids(keys: pd.DataFrame) -> np.ndarray:
     """Consecutive-run ids of the (sorted) key columns, NULLs comparing equal."""
     change = np.zeros(len(keys), dtype=bool)
@@ -95,16 +89,17 @@ def running_total(
     """Inclusive running sum of ``value`` in ``order_by`` order, per ``partition_by`` group.
 
     ``value`` must be an integral or floating column; decimal money should be
-    passed as integral cents for exact sums.
+    passed as integral cents for exact sums. Without ``num_partitions`` the ranges
+    start from the session's shuffle partitions and AQE joins them by their size.
     """
     group_cols = list(partition_by)
-    n = _partitions(df, num_partitions)
+    ranges = [num_partitions] if num_partitions else []
     value_type = df.schema[value].dataType
     integral = isinstance(value_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     local_type = T.LongType() if integral else T.DoubleType()
     base = df.withColumn(value, F.col(value).cast(local_type))
 
-    ordered = base.repartitionByRange(n, *group_cols, *order_by).sortWithinPartitions(*group_cols, *order_by)
+    ordered = base.repartitionByRange(*ranges, *group_cols, *order_by).sortWithinPartitions(*group_cols, *order_by)
     schema = T.StructType(base.schema.fields + [T.StructField(LOCAL, local_type), T.StructField(PID, T.IntegerType())])
     ensure_checkpoint_dir(df.sparkSession)
     local = ordered.mapInPandas(_local_cumsum(group_cols, value), schema).checkpoint(eager=True)

@@ -1,9 +1,8 @@
 """CSV scan with delimiter detection, pandas-style headers and missing tokens,
-and a typing pass (numbers, then day-first dates).
+and a typing pass (booleans, numbers, then day-first dates).
 
-The header line is read once (``spark.read.text(...).limit(1)``), the
-delimiter chosen from ``, ; tab |`` by how often it occurs there, and the
-body read by Spark's CSV source as text with that delimiter, so the scan is
+The header and a few lines are read first, the delimiter is chosen from
+``, ; tab |`` by how evenly it cuts them, and the body is read by Spark's CSV source as text with that delimiter, so the scan is
 split across tasks like any CSV read. Column types are decided from one
 aggregate over the whole file.
 """
@@ -26,13 +25,28 @@ NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+BOOLEAN_TEXT = r"^(True|TRUE|true|False|FALSE|false)$"
+SNIFF_LINES = 20
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 
-def sniff_delimiter(header_line: str) -> str:
-    counts = {d: header_line.count(d) for d in DELIMITERS}
-    best = max(DELIMITERS, key=lambda d: (counts[d], -DELIMITERS.index(d)))
-    return best if counts[best] > 0 else ","
+def sniff_delimiter(*lines: str) -> str:
+    """The delimiter that cuts the first line into several fields and most of the given
+    lines into as many, quoted delimiters not counted; a comma where none does."""
+
+    def fit(d: str) -> tuple[bool, int, int]:
+        widths = [len(r) for r in csv.reader(lines, delimiter=d)] or [0]
+        return widths[0] > 1, widths.count(widths[0]), widths[0]
+
+    best = max(DELIMITERS, key=fit)
+    return best if fit(best)[0] else ","
+
+
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the text holds an odd number of quotes, so that a record
+    goes on in the next line. One pass that stops at the first such line."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
 def header_names(header_line: str, sep: str) -> list[str]:
@@ -53,13 +67,17 @@ def header_names(header_line: str, sep: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, coerce_dates: bool = True) -> DataFrame:
-    """Typed DataFrame of a delimited text file (or folder of them)."""
-    first = spark.read.text(path).limit(1).collect()
-    header = first[0][0] if first else ""
-    header = header.lstrip("﻿")
-    sep = sniff_delimiter(header)
+    """Typed DataFrame of a delimited text file (or folder of them).
+
+    Files are split across tasks; only where a quoted field runs over several
+    lines is each file read by one task, as its records cannot be found from the middle.
+    """
+    lines = [r[0].lstrip("\ufeff") for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
+    header = lines[0] if lines else ""
+    sep = sniff_delimiter(*lines)
     names = header_names(header, sep)
-    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, quote='"', escape='"', multiLine=False)
+    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, quote='"', escape='"',
+                         multiLine=has_quoted_newlines(spark, path))
     raw = raw.toDF(*names[: len(raw.columns)]) if len(raw.columns) == len(names) else raw
     cleaned = raw.select(*[F.when(F.trim(col_ref(c)).isin(*NA_TOKENS) | col_ref(c).isNull(), None).otherwise(col_ref(c)).alias(c) for c in raw.columns])
     typed = infer_types(cleaned)
@@ -67,26 +85,32 @@ def read_csv(spark: SparkSession, path: str, coerce_dates: bool = True) -> DataF
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Cast text columns whose every value is an integer / a number to long / double
-    (one aggregate over the whole table); other columns stay text."""
+    """Cast text columns by one aggregate over the whole table: to boolean where every
+    row is a true/false text (none missing), to long where every value is an integer of
+    at most 64 bits, to double where every value is a number. Columns of integers of which
+    some are longer stay text, with all their digits; so do all others."""
     if not df.columns:
         return df
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         v = col_ref(c)
         aggs += [
             F.count(v).alias(f"n{i}"),
+            F.count(F.when(v.rlike(BOOLEAN_TEXT), 1)).alias(f"bool{i}"),
             F.count(F.when(v.rlike(NUMBER_TEXT), 1)).alias(f"num{i}"),
             F.count(F.when(v.rlike(INTEGER_TEXT), 1)).alias(f"int{i}"),
+            F.count(F.when(v.rlike(INTEGER_TEXT), F.trim(v).try_cast("bigint"))).alias(f"long{i}"),
         ]
     row = df.agg(*aggs).first()
     out = []
     for i, c in enumerate(df.columns):
-        n = row[f"n{i}"]
-        if n and row[f"int{i}"] == n:
-            out.append(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)").alias(c))
-        elif n and row[f"num{i}"] == n:
-            out.append(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)").alias(c))
+        n, v = row[f"n{i}"], col_ref(c)
+        if n and row[f"bool{i}"] == row["rows"]:
+            out.append(v.try_cast("boolean").alias(c))
+        elif n and row[f"long{i}"] == n:
+            out.append(F.trim(v).try_cast("bigint").alias(c))
+        elif n and row[f"num{i}"] == n and row[f"int{i}"] < n:
+            out.append(F.trim(v).try_cast("double").alias(c))
         else:
-            out.append(col_ref(c).alias(c))
+            out.append(v.alias(c))
     return df.select(*out)

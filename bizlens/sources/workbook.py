@@ -18,10 +18,14 @@ import re
 import zipfile
 import xml.etree.ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from bizlens.functions.expr import col_ref
+
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 # Built-in number formats that show dates or times (ECMA-376 numFmtId).
 DATE_FORMAT_IDS = frozenset(range(14, 23)) | frozenset(range(45, 48))
@@ -97,6 +101,8 @@ def read_sheet_rows(path: str) -> list[list[str | None]]:
                     text = "".join(t.text or "" for t in c.iter(f"{{{NS['m']}}}t"))
                 else:
                     text = v.text if v is not None else None
+                    if kind == "b" and text is not None:
+                        text = "True" if text.strip() == "1" else "False"
                     if text is not None and kind in (None, "n") and int(c.get("s", "0")) in date_styles:
                         text = _serial_to_text(text, epoch)
                 values[_col_index(c.get("r"))] = text
@@ -111,54 +117,76 @@ class _FilePartition(InputPartition):
         self.path = path
 
 
+def sheet_names(header: list[str | None]) -> list[str]:
+    """Column names of a header row, made as the CSV reader makes them."""
+    from bizlens.sources.csv import header_names
+
+    return header_names(",".join('"' + (h or "").replace('"', '""') + '"' for h in header), ",") if header else []
+
+
 class WorkbookReader(DataSourceReader):
-    def __init__(self, files: list[str], width: int):
+    """Rows of each workbook, its cells put under the columns of their names."""
+
+    def __init__(self, files: list[str], columns: list[str]):
         self.files = files
-        self.width = width
+        self.columns = columns
 
     def partitions(self):
         return [_FilePartition(f) for f in self.files]
 
     def read(self, partition):
         rows = read_sheet_rows(partition.path)
+        at = {name: i for i, name in enumerate(sheet_names(rows[0]))} if rows else {}
+        places = [at.get(c, -1) for c in self.columns]
         for r in rows[1:]:
-            cells = (r + [None] * self.width)[: self.width]
-            yield tuple(None if c is None or c == "" else c for c in cells)
+            yield tuple((r[i] or None) if 0 <= i < len(r) else None for i in places)
+
+
+def workbook_files(path: str) -> list[str]:
+    return sorted(glob.glob(os.path.join(path, "*.xlsx") if os.path.isdir(path) else path))
 
 
 class WorkbookDataSource(DataSource):
-    """``spark.read.format("xlsx").load(path_or_glob)``."""
+    """``spark.read.format("xlsx").load(path_or_glob)``. The columns are those of all
+    files, in the order of their first appearance; a file without one gives NULLs."""
 
     @classmethod
     def name(cls):
         return "xlsx"
 
-    def _files(self) -> list[str]:
-        path = self.options.get("path")
-        if os.path.isdir(path):
-            return sorted(glob.glob(os.path.join(path, "*.xlsx")))
-        return sorted(glob.glob(path))
-
     def schema(self):
-        from bizlens.sources.csv import header_names
-
-        files = self._files()
-        header = read_sheet_rows(files[0])[0] if files else []
-        names = header_names(",".join('"' + (h or "").replace('"', '""') + '"' for h in header), ",") if header else []
-        return StructType([StructField(n, StringType()) for n in names])
+        names = [n for f in workbook_files(self.options.get("path")) for n in sheet_names((read_sheet_rows(f) or [[]])[0])]
+        return workbook_schema(names)
 
     def reader(self, schema: StructType):
-        return WorkbookReader(self._files(), len(schema.fields))
+        return WorkbookReader(workbook_files(self.options.get("path")), schema.names)
+
+
+def workbook_schema(names: list[str]) -> StructType:
+    return StructType([StructField(n, StringType()) for n in dict.fromkeys(names)])
+
+
+def _headers(batches):
+    for pdf in batches:
+        for n, path in zip(pdf["n"], pdf["path"]):
+            names = sheet_names((read_sheet_rows(path) or [[]])[0])
+            yield pd.DataFrame({"n": n, "pos": range(len(names)), "name": names})
+
+
+def union_schema(spark: SparkSession, path: str) -> StructType:
+    """Columns of all workbooks under ``path``: headers are read by tasks, one row per
+    distinct name comes back."""
+    files = spark.createDataFrame(list(enumerate(workbook_files(path))), "n long, path string")
+    names = files.mapInPandas(_headers, "n long, pos long, name string").groupBy("name").agg(F.min(F.struct("n", "pos")).alias("first"))
+    return workbook_schema([r["name"] for r in names.orderBy("first").collect()])
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Typed DataFrame of the first sheets of all workbooks under ``path``."""
+    """Typed DataFrame of the first sheets of all workbooks under ``path``, columns by name."""
     from bizlens.sources.csv import NA_TOKENS, infer_types
-    from bizlens.functions.expr import col_ref
-    from pyspark.sql import functions as F
 
     spark.dataSource.register(WorkbookDataSource)
-    raw = spark.read.format("xlsx").load(path)
+    raw = spark.read.format("xlsx").schema(union_schema(spark, path)).load(path)
     cleaned = raw.select(*[F.when(F.trim(col_ref(c)).isin(*NA_TOKENS), None).otherwise(col_ref(c)).alias(c) for c in raw.columns])
     typed = infer_types(cleaned)
     # date-formatted cells arrive as "yyyy-MM-dd HH:mm:ss": such columns become timestamps (one aggregate)

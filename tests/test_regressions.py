@@ -1,15 +1,25 @@
 """One case per wrong answer found in review."""
 
+from datetime import date, timedelta
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bizlens.operators.marketplace import pareto_core
+from bizlens.operators import charts, forecast, modes
+from bizlens.operators.comparison import compare_dimension
+from bizlens.operators.marketplace import marketplace_kpis, pareto_core
+from bizlens.operators.ml import cluster
 from bizlens.operators.ml.iforest import isolation_forest
 from bizlens.operators.prefix import running_total
 from bizlens.operators.profile import corr_matrix
+from bizlens.operators.roles import normalize_column, normalize_name
 from bizlens.operators.timeseries import daily_sum
+from bizlens.sources.csv import read_csv, sniff_delimiter
+from bizlens.sources.ledger import payload_value
+from bizlens.sources.workbook import read_workbooks
+from test_sources import _write_xlsx
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 8, 64])
@@ -47,3 +57,96 @@ def test_text_dates_in_the_daily_series(spark):
     df = spark.createDataFrame([("01/02/2024", 1.0), ("03/02/2024", 2.0), ("25/02/2024", 4.0)], "day string, v double")
     got = daily_sum(df, "day", F.col("v")).orderBy("ds").collect()
     assert str(got[0]["ds"]) == "2024-02-01" and len(got) == 25 and sum(r["y"] for r in got) == 7.0
+
+
+def _csv(tmp_path, text):
+    path = tmp_path / "t.csv"
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def test_csv_booleans_quoted_newlines_and_long_integers(spark, tmp_path):
+    df = read_csv(spark, _csv(tmp_path, 'id;revenue;returned;long;note\n1;40;True;1;"two\nlines; one"\n2;7;False;123456789012345678901234;x\n'))
+    assert dict(df.dtypes) == {"id": "bigint", "revenue": "bigint", "returned": "boolean", "long": "string", "note": "string"}
+    rows = df.orderBy("id").collect()
+    assert rows[0]["note"] == "two\nlines; one" and rows[1]["long"] == "123456789012345678901234"
+    kpis = marketplace_kpis(df, {"revenue": "revenue", "returns": "returned"}).first()
+    assert kpis["returns_total"] == 40.0
+
+
+def test_csv_missing_booleans_stay_text_and_backticks_in_names(spark, tmp_path):
+    df = read_csv(spark, _csv(tmp_path, "a`b,flag\n1,true\n2,\n"))
+    assert df.dtypes == [("a`b", "bigint"), ("flag", "string")]
+
+
+def test_delimiter_from_several_lines():
+    assert sniff_delimiter('"a,b,c";d', "1;2", "3;4") == ";"
+    assert sniff_delimiter("a b, c;d", "1,2;3", "4,4;5,5") in (",", ";")
+    assert sniff_delimiter() == "," and sniff_delimiter("one", "two") == ","
+
+
+def test_workbook_columns_by_name(spark, tmp_path):
+    _write_xlsx(str(tmp_path / "a.xlsx"), [["product", "revenue"], ["p", 10]])
+    _write_xlsx(str(tmp_path / "b.xlsx"), [["revenue", "city", "product"], [20, "x", "q"]])
+    df = read_workbooks(spark, str(tmp_path))
+    assert df.columns == ["product", "revenue", "city"]
+    assert sorted(map(tuple, df.collect()), key=str) == [("p", 10, None), ("q", 20, "x")]
+
+
+def test_marketplace_without_revenue(spark):
+    df = spark.createDataFrame([(5.0, 2.0), (-1.0, 3.0)], "returns double, commission double")
+    res = modes.analyze(df, "marketplace")
+    assert res.kpis.first().asDict() == {"returns_total": 6.0, "commissions": 5.0, "profit": 0.0}
+    assert res.recommendations[0] == modes.MISSING_TEXT["marketplace"]
+
+
+def test_forecast_prefers_the_seasonal_model(spark):
+    rows = [(date(2024, 1, 1) + timedelta(days=i), 100.0 + 2 * i) for i in range(60)]
+    res = modes.analyze(spark.createDataFrame(rows, "date date, revenue double"), "forecast")
+    k = res.kpis.first()
+    assert k["method"] == forecast.METHOD_SEASONAL
+    assert k["forecast_7"] == pytest.approx(sum(100.0 + 2 * i for i in range(60, 67)), rel=1e-6)
+
+
+def test_comparison_is_ordered_by_change(spark):
+    schema = "category string, revenue double"
+    a = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 2.0)], schema)
+    b = spark.createDataFrame([("a", 4.0), ("b", 1.0), ("d", 9.0)], schema)
+    assert [r["position"] for r in compare_dimension(a, b, "category").collect()] == ["d", "a", "c", "b"]
+
+
+def test_chart_without_rows_left_is_an_error(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "k string, v double")
+    with pytest.raises(ValueError, match="После подготовки"):
+        charts.chart_data(df, charts.ChartSpec("bar", "k", ["v"]))
+
+
+@pytest.mark.parametrize("spec, expected", [
+    (("bar", None, []), ["no x", "no y"]),
+    (("pie", "k", ["k"]), ["Для круговой диаграммы колонка значений должна быть числовой."]),
+    (("heatmap", None, []), ["heatmap"]),
+    (("radar", None, []), ["type"]),
+])
+def test_chart_messages(spark, spec, expected):
+    df = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    assert charts.validate(df, charts.ChartSpec(*spec)) == [charts.MESSAGES.get(e, e) for e in expected]
+
+
+def test_map_notes_follow_the_flags(spark):
+    points = spark.createDataFrame([(0.1 * i, 0.1) for i in range(10)], "x double, y double")
+    notes = cluster.map_notes(cluster.map_diagnostics(points, "x", "y"), grouped=True)
+    assert [r["text"] for r in notes.orderBy("line").collect()] == [cluster.MAP_LINES[k] for k in ("compact", "grouped", "caution")]
+    few = cluster.map_notes(cluster.map_diagnostics(points.limit(2), "x", "y"), grouped=False)
+    assert [r["text"] for r in few.collect()] == [cluster.MAP_LINES["few"]]
+
+
+def test_ledger_payload_values():
+    frame = pd.DataFrame({"a": [1.5, float("nan")]})
+    got = payload_value({1: frame, "t": (date(2024, 1, 2), True, None, float("inf")), "s": "x"})
+    assert got == {"1": [{"a": 1.5}, {"a": None}], "t": ["2024-01-02", True, None, None], "s": "x"}
+
+
+def test_name_normalisation_is_the_same_in_python_and_spark(spark):
+    names = ["  Unit Price (₽)", "__a--b__", "Дата заказа", "ёж", "", "№1"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", normalize_column(F.col("n")).alias("s"))
+    assert all(normalize_name(r["n"]) == r["s"] for r in df.collect())
