@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +36,20 @@ def top_k(df: DataFrame, value: str, key: str, n: int, descending: bool = True)
     return df.orderBy(order, col_ref(key).asc()).limit(n)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row stages enough tasks.
+def first_by_hash(df: DataFrame, hashed: Column, ties: list[Column], k: int, n: int) -> DataFrame:
+    """The ``k`` rows of ``df`` (``n`` rows) that come first by the 64-bit hash ``hashed``, then ``ties``.
 
-    Small inputs can arrive in fewer scan partitions than the cluster has
-    cores; those are spread round-robin over ``defaultParallelism`` tasks. On
-    large inputs (many scan splits already) the frame is returned unchanged,
-    so no shuffle is added at scale.
+    A plain top-k keeps k rows of every task for the one that merges them. Here only rows
+    below the hash value under which somewhat more than k are expected go on; where rows
+    with few distinct hashes leave fewer than k there, all go on. The result is the same.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    share = (k + 10 * math.sqrt(k) + 100) / max(n, 1)
+    rows = df
+    if share < 1:
+        near = materialize(df.where(hashed < F.lit(int(share * 2**64) - 2**63)))
+        if near.count() >= k:
+            rows = near
+    return rows.orderBy(hashed, *ties).limit(k)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.operators.common import spread
+from bizlens.operators.common import first_by_hash
 from bizlens.operators.ml.neighbors import ID, VEC, _distances
 
 BLOCK = 2048
@@ -35,7 +35,7 @@ SEED = 42
 def _assign(points: DataFrame, eps: float, block: int, max_pivots: int) -> DataFrame:
     n = points.count()
     p = int(min(max_pivots, max(1, math.ceil(n / block))))
-    piv = points.orderBy(F.xxhash64(ID, F.lit(SEED)), ID).limit(p).select(VEC).toPandas()  # bounded: p rows
+    piv = first_by_hash(points, F.xxhash64(ID, F.lit(SEED)), [F.col(ID)], p, n).select(VEC).toPandas()  # bounded: p rows
     pivots = np.array([np.asarray(v, dtype=np.float64) for v in piv[VEC]])
     piv_b = points.sparkSession.sparkContext.broadcast(pivots)
     reach = 2.0 * eps
@@ -58,7 +58,7 @@ def _assign(points: DataFrame, eps: float, block: int, max_pivots: int) -> DataF
                 "own": cols == home[rows],
             })
 
-    return spread(points.select(ID, VEC)).mapInPandas(assign, f"pivot int, {ID} long, {VEC} array<double>, own boolean")
+    return points.select(ID, VEC).mapInPandas(assign, f"pivot int, {ID} long, {VEC} array<double>, own boolean")
 
 
 def _blocks(assigned: DataFrame, block: int):
@@ -129,7 +129,7 @@ def _nearest_within(queries: DataFrame, refs: DataFrame, radius: float, k: int,
     every reference within ``radius`` (triangle inequality)."""
     n = refs.count()
     p = int(min(max_pivots, max(1, math.ceil(n / block))))
-    piv = refs.orderBy(F.xxhash64(ID, F.lit(SEED)), ID).limit(p).select(VEC).toPandas()  # bounded: p rows
+    piv = first_by_hash(refs, F.xxhash64(ID, F.lit(SEED)), [F.col(ID)], p, n).select(VEC).toPandas()  # bounded: p rows
     pivots = np.array([np.asarray(v, dtype=np.float64) for v in piv[VEC]])
     piv_b = refs.sparkSession.sparkContext.broadcast(pivots)
     reach = 2.0 * radius
@@ -150,8 +150,8 @@ def _nearest_within(queries: DataFrame, refs: DataFrame, radius: float, k: int,
             yield pd.DataFrame({"pivot": cols.astype(np.int32), ID: pdf[ID].to_numpy()[rows], VEC: pdf[VEC].to_numpy()[rows]})
 
     schema = f"pivot int, {ID} long, {VEC} array<double>"
-    r_side = spread(refs.select(ID, VEC)).mapInPandas(lambda it: place(it, False), schema)
-    q_side = spread(queries.select(ID, VEC)).mapInPandas(lambda it: place(it, True), schema)
+    r_side = refs.select(ID, VEC).mapInPandas(lambda it: place(it, False), schema)
+    q_side = queries.select(ID, VEC).mapInPandas(lambda it: place(it, True), schema)
     sizes = F.broadcast(  # one row per pivot
         r_side.groupBy("pivot").agg(F.count(F.lit(1)).alias("nr")).join(
             q_side.groupBy("pivot").agg(F.count(F.lit(1)).alias("nq")), "pivot", "full_outer")

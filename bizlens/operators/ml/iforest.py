@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizlens.functions.expr import to_number
-from bizlens.operators.common import spread
+from bizlens.operators.common import first_by_hash
 from bizlens.operators.ml.prep import KEY, SAMPLE_SEED, hash_order, with_row_key
 from bizlens.operators.typing import column_kinds
 
@@ -87,23 +87,17 @@ def fit(features: DataFrame, n_features: int, n_rows: int, trees: int = TREES, m
         seed: int = SAMPLE_SEED):
     """Grow the forest; returns (nodes pandas frame, psi).
 
-    The pool is the first ``trees * psi`` rows in hash order (a distributed
-    top-k). When the table is at least that large, tree ``t`` takes the
-    ``t``-th block of ``psi`` pool rows: disjoint uniform subsamples. Smaller
-    tables give every tree its own draw of ``psi`` pool rows (smallest
-    ``xxhash64(row_key, t)``); the pool then has fewer than ``trees * psi``
-    rows, so the per-tree window stays bounded.
+    The pool is the first ``trees * psi`` rows in hash order. Every tree takes its own draw of
+    ``psi`` pool rows (smallest ``xxhash64(row_key, tree)``), whatever the size of the table;
+    the pool bounds the per-tree window.
     """
     fcols = [f"_f{i}" for i in range(n_features)]
     psi = min(max_samples, n_rows)
-    pool = features.select(KEY, *fcols).withColumn("_h", hash_order(KEY, seed)).orderBy("_h", KEY).limit(trees * psi)
-    if n_rows >= trees * psi:
-        # numbering window over the bounded pool (trees * psi rows)
-        draws = pool.select(*fcols, (F.floor((F.row_number().over(Window.orderBy("_h", KEY)) - 1) / psi)).cast("int").alias("tree"))
-    else:
-        per_tree = pool.select(KEY, *fcols, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        pick = Window.partitionBy("tree").orderBy(F.xxhash64(KEY, F.col("tree")), KEY)
-        draws = per_tree.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= psi).drop("_r")
+    keyed = features.select(KEY, *fcols).withColumn("_h", hash_order(KEY, seed))
+    pool = first_by_hash(keyed, F.col("_h"), [F.col(KEY)], trees * psi, n_rows)
+    per_tree = pool.select(KEY, *fcols, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    pick = Window.partitionBy("tree").orderBy(F.xxhash64(KEY, F.col("tree")), KEY)
+    draws = per_tree.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= psi).drop("_r")
     grown = draws.select("tree", *fcols).groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, fcols, seed), NODE_SCHEMA)
     nodes = grown.toPandas()  # bounded: trees x (2 * psi - 1) nodes
     return nodes, psi
@@ -147,7 +141,7 @@ def score(features: DataFrame, nodes: pd.DataFrame, psi: int, n_features: int) -
             yield pd.DataFrame({"_k1": pdf["_k1"], "_k2": pdf["_k2"], "score": s})
 
     # the key travels as two plain longs: struct columns are slow through Arrow/pandas
-    flat_key = spread(features.select(F.col(KEY).getField("h1").alias("_k1"), F.col(KEY).getField("h2").alias("_k2"), *fcols))
+    flat_key = features.select(F.col(KEY).getField("h1").alias("_k1"), F.col(KEY).getField("h2").alias("_k2"), *fcols)
     scored = flat_key.mapInPandas(run, "_k1 long, _k2 long, score double")
     return scored.select(F.struct(F.col("_k1").alias("h1"), F.col("_k2").alias("h2")).alias(KEY), "score")
 

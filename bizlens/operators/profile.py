@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,35 +160,80 @@ def skew_flags(df: DataFrame, n_columns: int = 6) -> DataFrame:
     )
 
 
+def _batch_moments(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For a batch of rows, matrices over the column pairs (i, j): number of rows that hold
+    both; over these rows, mean, squared deviations, least and largest value of i, and the
+    product of the deviations of i and j (NaN where an infinite value takes part)."""
+    held = ~np.isnan(x)
+    finite = np.isfinite(x)
+    m = held.astype(np.float64)
+    shift = np.where(finite, x, 0.0).sum(0) / np.maximum(finite.sum(0), 1)
+    z = np.where(finite, x - shift, 0.0)
+    n = m.T @ m
+    some = np.maximum(n, 1.0)
+    sums = z.T @ m
+    dev = (z * z).T @ m - sums * sums / some
+    prod = z.T @ z - sums * sums.T / some
+    infinite = (held & ~finite).astype(np.float64).T @ m > 0
+    prod[infinite | infinite.T] = np.nan
+    low, high = np.where(held, x, np.inf), np.where(held, x, -np.inf)
+    both = [held[:, [j]] for j in range(x.shape[1])]
+    lo = np.stack([np.where(b, low, np.inf).min(0) for b in both], axis=1)
+    hi = np.stack([np.where(b, high, -np.inf).max(0) for b in both], axis=1)
+    return n, shift[:, None] + sums / some, dev, prod, lo, hi
+
+
+def _merge_moments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Moments of two disjoint sets of rows together."""
+    n = a[0] + b[0]
+    some = np.maximum(n, 1.0)
+    gap = b[1] - a[1]
+    weight = a[0] * b[0] / some
+    return (n, a[1] + gap * b[0] / some, a[2] + b[2] + gap * gap * weight, a[3] + b[3] + gap * gap.T * weight,
+            np.minimum(a[4], b[4]), np.maximum(a[5], b[5]))
+
+
+def _pair_moments(batches):
+    """One row per column pair i <= j for all batches of a partition."""
+    total = None
+    for pdf in batches:
+        if len(pdf):
+            part = _batch_moments(pdf.to_numpy(dtype=np.float64))
+            total = part if total is None else _merge_moments(total, part)
+    if total is not None:
+        n, mean, dev, prod, lo, hi = total
+        i, j = np.triu_indices(len(n))
+        rows = pd.DataFrame({"i": i, "j": j, "n": n[i, j], "mean_a": mean[i, j], "mean_b": mean[j, i], "dev_a": dev[i, j],
+                             "dev_b": dev[j, i], "prod": prod[i, j], "lo_a": lo[i, j], "hi_a": hi[i, j], "lo_b": lo[j, i], "hi_b": hi[j, i]})
+        yield rows[rows["n"] > 0]
+
+
 def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation of all column pairs, long form
     (i, j, row_name, col_name, corr); NULL where undefined.
 
-    Each row is exploded into its (i <= j) column pairs and one narrow
-    aggregate (covariance and both deviations per pair) runs with map-side
-    partial aggregation; the diagonal is 1 where the column varies.
+    Every task reduces its rows to one row of moments per pair (matrix products over
+    Arrow batches); these are merged around the pair's mean. The diagonal is 1 where
+    the column varies.
     """
     cols = columns if columns is not None else column_kinds(df).numeric
     if not cols:
         return df.sparkSession.createDataFrame([], "i int, j int, row_name string, col_name string, corr double")
-    # coerce every column once, then form the pairs from the coerced values
     numbers = df.select(*[to_number(df, c).alias(f"_n{i}") for i, c in enumerate(cols)])
-    entries = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_n{i}").alias("a"), F.col(f"_n{j}").alias("b"))
-        for i, a in enumerate(cols)
-        for j, b in enumerate(cols)
-        if j >= i
-    ]
-    pairs = numbers.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
-    # p(p+1)/2 rows, read several times below: computed once
-    stats = materialize(pairs.groupBy("i", "j").agg(
-        F.covar_samp("a", "b").alias("cov"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb"),
+    fields = ("n", "mean_a", "mean_b", "dev_a", "dev_b", "prod", "lo_a", "hi_a", "lo_b", "hi_b")
+    # tasks x pairs rows, read twice below: computed once
+    parts = materialize(numbers.mapInPandas(_pair_moments, "i int, j int, " + ", ".join(f"{f} double" for f in fields)))
+    means = parts.groupBy("i", "j").agg(*[(F.sum(F.col("n") * F.col(f"mean_{s}")) / F.sum("n")).alias(f"all_{s}") for s in "ab"])
+    off = {s: F.col(f"mean_{s}") - F.col(f"all_{s}") for s in "ab"}
+    # one row per column pair: bounded by the schema width
+    stats = parts.join(F.broadcast(means), ["i", "j"]).groupBy("i", "j").agg(
+        F.sum(F.col("prod") + F.col("n") * off["a"] * off["b"]).alias("prod"),
+        *[F.sum(F.col(f"dev_{s}") + F.col("n") * off[s] * off[s]).alias(f"dev_{s}") for s in "ab"],
         # exact test for constant sides: merged moments of a constant can differ from 0
-        ((F.min("a") < F.max("a")) & (F.min("b") < F.max("b"))).alias("varies"),
-    ))
+        ((F.min("lo_a") < F.max("hi_a")) & (F.min("lo_b") < F.max("hi_b"))).alias("varies"),
+    )
     r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
-        F.try_divide(F.col("cov"), F.col("sa") * F.col("sb"))
+        F.try_divide(F.col("prod"), F.sqrt("dev_a") * F.sqrt("dev_b"))
     )
     upper = stats.select("i", "j", F.when(F.col("varies") & ~F.isnan(r), r).alias("corr"))
     # every (i, j) pair, present in the data or not

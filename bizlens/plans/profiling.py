@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.expr import NUMBER_TEXT, to_number
 from bizlens.operators import profile, rules
-from bizlens.operators.roles import ROLE_KEYWORDS, normalize_name, role_catalogue, schema_catalogue
+from bizlens.operators.roles import ROLE_KEYWORDS, normalize_name, filled_values, role_catalogue, schema_catalogue
 from bizlens.operators.typing import coerce_date_columns
 from bizlens.plans.oracle import with_views as W
 from bizlens.plans.registry import register
@@ -224,6 +224,10 @@ def _role_map_sql() -> str:
         for kr, k in enumerate(ks)
     )
     tables = ", ".join(f"'{t}'" for t in views.TABLES)
+    filled = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, column_name, filled FROM (UNPIVOT (SELECT COUNT(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE filled)"
+        for t in views.TABLES
+    )
     return f"""
 WITH cat AS (SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name
              FROM information_schema.columns WHERE table_name IN ({tables})),
@@ -234,11 +238,13 @@ kw(role, role_rank, keyword_rank, keyword) AS (VALUES {kws}),
 m AS (SELECT pn.table_name, kw.role, kw.role_rank, pn.column_name,
              row_number() OVER (PARTITION BY pn.table_name, kw.role
                                 ORDER BY CASE WHEN pn.norm = kw.keyword THEN 0 ELSE 1 END, kw.keyword_rank, pn.position) AS rn
-      FROM pn JOIN kw ON contains(pn.norm, kw.keyword))
-SELECT table_name, role, role_rank, column_name FROM m WHERE rn = 1"""
+      FROM pn JOIN kw ON contains(pn.norm, kw.keyword)),
+filled AS ({filled})
+SELECT m.table_name, role, role_rank, m.column_name, filled.filled FROM m JOIN filled USING (table_name, column_name) WHERE rn = 1"""
 
 
 @register("role_map", _role_map_sql())
 def q_role_map(spark, sf):
     frames = {t: views.table(spark, sf, t) for t in views.TABLES}
-    return role_catalogue(schema_catalogue(spark, frames))
+    roles = role_catalogue(schema_catalogue(spark, frames))
+    return roles.join(filled_values(frames), ["table_name", "column_name"])

@@ -3,11 +3,13 @@
 from datetime import date, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from bizlens.operators import charts, forecast, modes
+from bizlens.operators.common import first_by_hash
 from bizlens.operators.comparison import compare_dimension
 from bizlens.operators.marketplace import marketplace_kpis, pareto_core
 from bizlens.operators.ml import cluster
@@ -150,3 +152,31 @@ def test_name_normalisation_is_the_same_in_python_and_spark(spark):
     names = ["  Unit Price (₽)", "__a--b__", "Дата заказа", "ёж", "", "№1"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select("n", normalize_column(F.col("n")).alias("s"))
     assert all(normalize_name(r["n"]) == r["s"] for r in df.collect())
+
+
+def test_correlation_over_gaps_and_partitions(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(1e4, 3.0, (500, 4))
+    x[:, 3] += x[:, 0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    frame = pd.DataFrame(x, columns=list("abcd"))
+    want = frame.corr()
+    df = spark.createDataFrame(frame).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in "abcd"])
+    for n in (1, 7, 64):
+        got = corr_matrix(df.repartition(n), list("abcd")).collect()
+        assert len(got) == 16
+        for r in got:
+            assert r["corr"] == pytest.approx(want.loc[r["row_name"], r["col_name"]], abs=1e-9)
+
+
+def test_correlation_with_an_infinite_value_is_undefined_for_its_pairs(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, 4.0, 3.0), (float("inf"), 5.0, None), (3.0, 7.0, 2.0)], "a double, b double, c double")
+    got = {(r["row_name"], r["col_name"]): r["corr"] for r in corr_matrix(df.coalesce(1), ["a", "b", "c"]).collect()}
+    assert got["a", "b"] is None and got["a", "c"] == pytest.approx(0.5) and got["b", "c"] is not None
+
+
+@pytest.mark.parametrize("distinct", [3, 20_000])
+def test_first_by_hash_equals_the_plain_top_k(spark, distinct):
+    df = spark.range(20_000).select("id", F.xxhash64(F.col("id") % distinct).alias("h"))
+    want = [r["id"] for r in df.orderBy("h", "id").limit(50).collect()]
+    assert [r["id"] for r in first_by_hash(df, F.col("h"), [F.col("id")], 50, 20_000).collect()] == want
