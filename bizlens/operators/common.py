@@ -52,6 +52,14 @@ def first_by_hash(df: DataFrame, hashed: Column, ties: list[Column], k: int, n:
     return rows.orderBy(hashed, *ties).limit(k)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Deal rows round-robin over the cores where the input has fewer files than cores, so
+    that heavy Python work on one small file is not one task. Decided from the file list
+    alone: nothing runs, and tables of many files get no extra shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a (typically aggregated) intermediate once and cut its lineage.
 

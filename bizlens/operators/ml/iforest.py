@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizlens.functions.expr import to_number
-from bizlens.operators.common import first_by_hash
+from bizlens.operators.common import first_by_hash, widen
 from bizlens.operators.ml.prep import KEY, SAMPLE_SEED, hash_order, with_row_key
 from bizlens.operators.typing import column_kinds
 
@@ -141,7 +141,7 @@ def score(features: DataFrame, nodes: pd.DataFrame, psi: int, n_features: int) -
             yield pd.DataFrame({"_k1": pdf["_k1"], "_k2": pdf["_k2"], "score": s})
 
     # the key travels as two plain longs: struct columns are slow through Arrow/pandas
-    flat_key = features.select(F.col(KEY).getField("h1").alias("_k1"), F.col(KEY).getField("h2").alias("_k2"), *fcols)
+    flat_key = widen(features.select(F.col(KEY).getField("h1").alias("_k1"), F.col(KEY).getField("h2").alias("_k2"), *fcols))
     scored = flat_key.mapInPandas(run, "_k1 long, _k2 long, score double")
     return scored.select(F.struct(F.col("_k1").alias("h1"), F.col("_k2").alias("h2")).alias(KEY), "score")
 
