@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns plus dictionary-primed compression novelty.
 
-Method: candidates are runs of key-like characters with letters and digits that follow a
-sensitive word within ``REACH`` characters. A zstandard dictionary is primed with the
+Method: candidates are all runs of key-like characters with letters and digits that follow a
+sensitive word within ``REACH`` characters, however many there are; a rejected run hides no later one. A zstandard dictionary is primed with the
 identifiers of the corpus; a candidate's marginal bytes are the compressed size of its
 surroundings with the candidate minus the size without it (other copies of the
 candidate are taken out of the surroundings first). Identifiers, paths and repeated text
@@ -68,19 +68,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """Key-like runs after a sensitive word that overlap no span in ``taken``."""
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Every key-like run that starts within ``REACH`` of a sensitive word, whole and once."""
     last = 0
     for cue in _CUE.finditer(text):
-        m = _RUN.search(text, max(last, cue.end()), min(len(text), cue.end() + REACH + LEAST))
-        if not m:
-            continue
-        m = _RUN.match(text, m.start())  # the whole run, beyond the reach too
-        start, end = m.span()
-        last = end
+        for m in _RUN.finditer(text, max(last, cue.end()), min(len(text), cue.end() + REACH + LEAST)):
+            last = _RUN.match(text, m.start()).end()  # the whole run, beyond the reach too
+            yield m.start(), last
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> Iterator[tuple[int, int]]:
+    """Novel candidates with letters and digits that overlap no span in ``taken``. Of a run that is
+    not, the parts after sensitive words inside it are judged: ``x_credential=...`` is one run."""
+    def novel(start: int, end: int) -> bool:
         run = text[start:end]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < end and start < e for s, e, _ in taken):
+        return (any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < end and start < e for s, e, _ in taken)
+                and novelty.ratio(text, start, end) >= NOVELTY)
+
+    for start, end in candidates(text):
+        if novel(start, end):
             yield start, end
+            continue
+        cues = list(_CUE.finditer(text, start, end))
+        for cue, stop in zip(cues, [*(c.start() for c in cues[1:]), end]):
+            if stop - cue.end() >= LEAST and novel(cue.end(), stop):
+                yield cue.end(), stop
 
 
 class Novelty:
@@ -108,7 +120,7 @@ def find_spans(text: str | None, novelty: Novelty) -> tuple[list[tuple[int, int,
     if not text:
         return [], []
     base = base_spans(text)
-    more = [(s, e, "novel") for s, e in candidates(text, base) if novelty.ratio(text, s, e) >= NOVELTY]
+    more = [(s, e, "novel") for s, e in novel_spans(text, base, novelty)]
     order = lambda x: (x[0], KINDS.index(x[2]))
     return sorted(base, key=order), sorted(base + more, key=order)
 

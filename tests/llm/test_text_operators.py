@@ -25,6 +25,15 @@ def test_base_spans_and_novelty(spark, docs):
     assert secret_scan.scan_documents(docs.limit(0)).count() == 0
 
 
+def test_every_run_in_reach_is_a_candidate():
+    novelty, key = secret_scan.Novelty(secret_scan.COMMON_NAMES), "q7Zk2XvB9mT4wL8sR1nY"
+    for text in (f"secret for production-environment db: {key}", f"the password of administrator.account is {key} now",
+                 f"token {key}, or {key[::-1]}", f"password for staging-environments my_credential={key}"):
+        found = [text[s:e] for s, e, _ in secret_scan.find_spans(text, novelty)[1]]
+        assert any(key in x for x in found) and len(found) == 1 + (key[::-1] in text)
+    assert secret_scan.find_spans("secret for production-environment" + " " * 48 + key, novelty)[1] == []  # out of reach
+
+
 def test_base_spans_against_plain_regex():
     rng = random.Random(3)
     parts = ["secret", "API_KEY", "apikey", "=", ":", " ", '"', "'", "AKIA", "A1B2", "deadbeef", "0f", "xyz", "pass", "wd", "é", "ſecret"]
