@@ -7,6 +7,9 @@ surroundings with the candidate minus the size without it (other copies of the
 candidate are taken out of the surroundings first). Identifiers, paths and repeated text
 shrink against the dictionary or the surroundings; a secret does not: spans whose marginal bytes
 reach ``NOVELTY`` of their length are reported as ``novel`` unless they overlap a base span.
+No code goes below the entropy of a run's alphabet (upper-case hex: 0.5 bytes), which long runs come
+near to; a run of ``LONG`` characters that uses its characters evenly (entropy of their counts at least
+``EVEN`` of the logarithm of their number; words do not) is novel from ``EVEN`` of that entropy on, too.
 
 Base spans, leftmost and non-overlapping per kind (ASCII letters in either case for
 ``assign``): assigned values of 6+ characters, access keys of 20+, hex runs of 24+.
@@ -23,6 +26,7 @@ empty table gives none; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -52,6 +56,8 @@ REACH = 48
 SURROUNDING = 256
 LEAST = 16
 NOVELTY = 0.75
+LONG = 128
+EVEN = 0.92
 _CUE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_ -]?key|credential|bearer|private[_ -]?key|access[_ -]?key|authorization", re.I | re.A)
 _RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{%d,}" % LEAST)
 _NAME_END = re.compile(r"""([A-Za-z_][A-Za-z0-9_]{2,40})["']?\x20*$""")
@@ -83,7 +89,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty)
     def novel(start: int, end: int) -> bool:
         run = text[start:end]
         return (any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < end and start < e for s, e, _ in taken)
-                and novelty.ratio(text, start, end) >= NOVELTY)
+                and novelty.reached(text, start, end))
 
     for start, end in candidates(text):
         if novel(start, end):
@@ -114,6 +120,18 @@ class Novelty:
         after = text[end:end + SURROUNDING].replace(run, "")
         return (self.size(before + run + after) - self.size(before + after)) / len(run.encode())
 
+    def reached(self, text: str, start: int, end: int) -> bool:
+        return self.ratio(text, start, end) >= least_ratio(text[start:end])
+
+
+def least_ratio(run: str) -> float:
+    """``NOVELTY``, or less for long runs that use a small alphabet evenly."""
+    if len(run) < LONG:
+        return NOVELTY
+    counts = Counter(run).values()
+    bits = sum(n * math.log2(len(run) / n) for n in counts) / len(run)
+    return min(NOVELTY, EVEN * bits / 8) if bits >= EVEN * math.log2(len(counts)) else NOVELTY
+
 
 def find_spans(text: str | None, novelty: Novelty) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each by start, then kind as listed."""

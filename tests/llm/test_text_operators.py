@@ -34,6 +34,20 @@ def test_every_run_in_reach_is_a_candidate():
     assert secret_scan.find_spans("secret for production-environment" + " " * 48 + key, novelty)[1] == []  # out of reach
 
 
+def test_long_keys_of_small_alphabets_are_novel():
+    rng = random.Random(11)
+    novelty, words = secret_scan.Novelty(secret_scan.COMMON_NAMES), [f"{a}{b}" for a in ("river", "stone", "cloud", "light") for b in ("", "ing", "less", "ward")]
+    for alphabet in ("0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for length in (126, 300, 512, 700, 2000, 8000):
+            head = " ".join(rng.choices(words, k=60)) + " private key "
+            key = "A1" + "".join(rng.choices(alphabet, k=length))
+            spans = secret_scan.find_spans(head + key + " " + " ".join(rng.choices(words, k=60)), novelty)[1]
+            assert (len(head), len(head) + len(key), "novel") in spans, (alphabet, length)
+    # long runs of words or of one repeated part are not
+    for run in ("-".join(rng.choices(words, k=300)) + "-2024", "release/v1.2/" * 200):
+        assert secret_scan.find_spans(f"private key {run} end", novelty)[1] == []
+
+
 def test_base_spans_against_plain_regex():
     rng = random.Random(3)
     parts = ["secret", "API_KEY", "apikey", "=", ":", " ", '"', "'", "AKIA", "A1B2", "deadbeef", "0f", "xyz", "pass", "wd", "é", "ſecret"]
