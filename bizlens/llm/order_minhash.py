@@ -18,7 +18,11 @@ No group is expanded into pairs:
    returns the links it needed. Every colliding pair is either linked, already connected or
    rejected by a bound or its alignment; none is dropped.
 
-At the threshold itself a pair misses all sketches with a chance of about 3e-5.
+At the threshold itself a pair misses all sketches with a chance of 3e-5 (long texts) to 5e-5 (31
+k-mers). It would grow to 1e-2 for fewer k-mers, of which few minima can be drawn, so pairs with a text of
+up to ``SHORT`` k-mers do not depend on sketches: their texts also share a bucket per k-mer of a prefix, the
+``n - ceil(SIMILARITY * n) + 1`` k-mers that are rarest among short texts. Two texts that reach
+``SIMILARITY`` have one in common, so none of these pairs is missed.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased; fewer than
 five words make one k-mer; texts without any word are copies when equal and not blank; NULL and
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.llm.common import materialize, unused
@@ -46,6 +50,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 MINIMA = 4
+#: k-mers up to which no pair is missed; the other text of such a pair has at most SHORT / SIMILARITY.
+SHORT = 30
 #: Word hashes remembered per task.
 WORD_CACHE = 300_000
 #: Texts on either side of a block comparison, and k-mer columns of one matrix product.
@@ -164,6 +170,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({
             "id": pdf["id"], "place": pdf["place"], "key": [content_key(t) for t in pdf["text"]],
             "n": [len(x) for x in rows], "sketch": [order_sketch(x, seeds) if len(x) else None for x in rows],
+            "short": [x.view(np.int64) if 0 < len(x) <= SHORT / SIMILARITY else None for x in rows],
         })
 
 
@@ -252,10 +259,20 @@ def _components_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(found, nodes["key"] == found["node"], "left").select("key", F.coalesce("component", "key").alias("component")))
 
 
+def _prefixes(nodes: DataFrame) -> DataFrame:
+    """(key, place, n, j, v) of the prefix k-mers of short texts that another short text has too."""
+    rows = nodes.where(F.col("short").isNotNull()).select("key", "place", "n", F.explode("short").alias("v"))
+    counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = Window.partitionBy("key").orderBy("texts", "v")
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY) - F.lit(1e-9)) + 1
+    ranked = rows.join(counts, "v").withColumn("rank", F.row_number().over(rarest))
+    return ranked.where((F.col("rank") <= length) & (F.col("texts") > 1)).select("key", "place", "n", F.lit(SKETCHES).alias("j"), "v")
+
+
 def _components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, component) of the candidate nodes (key, place, n, sketch): linked with the centres
-    first, then what the block comparison joins, as links between those components."""
-    members = nodes.select("key", "place", "n", F.posexplode("sketch").alias("j", "v"))
+    """(node, component) of the candidate nodes (key, place, n, sketch, short): linked with the
+    centres first, then what the block comparison joins, as links between those components."""
+    members = nodes.select("key", "place", "n", F.posexplode("sketch").alias("j", "v")).unionByName(_prefixes(nodes))
     sizes = members.groupBy("j", "v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(members.join(sizes, ["j", "v"]))
     scores = members.groupBy("key").agg(F.first("place").alias("place"), F.sum("size").alias("score"))
@@ -296,8 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, place (hash of the text), class_id, class_size, kept."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("place"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketched = materialize(texts.mapInPandas(_sketch, f"id {id_type}, place long, key binary, n int, sketch array<long>"))
-    worded = sketched.where(F.col("sketch").isNotNull()).groupBy("key").agg(F.first(F.struct("place", "n", "sketch")).alias("r")).select("key", "r.*")
+    sketched = materialize(texts.mapInPandas(_sketch, f"id {id_type}, place long, key binary, n int, sketch array<long>, short array<long>"))
+    worded = sketched.where(F.col("sketch").isNotNull()).groupBy("key").agg(F.first(F.struct("place", "n", "sketch", "short")).alias("r")).select("key", "r.*")
     components = _components(worded, texts.select("place", "text").where(F.col("text").isNotNull()))
     rows = sketched.select("id", "place", "key")
     classed = rows.where(F.col("key").isNotNull()).join(components, F.col("key") == F.col("node"), "left").select("id", "place", F.coalesce("component", "key").alias("class"))

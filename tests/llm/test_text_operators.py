@@ -133,6 +133,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {i: label[i] for i in range(len(rows))}
 
 
+def test_short_near_duplicates_are_all_found(spark):
+    rng = random.Random(13)
+    rows = []
+    for g in range(1200):  # pairs exactly at the threshold: 4 of 5, 8 of 10 and 12 of 15 k-mers
+        n = rng.choice([4, 4, 8, 12])
+        words = [f"g{g}w{i}" for i in range(n + 4)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words + [f"g{g}end{i}" for i in range(n // 4)]))]
+    rows += [(10_000 + i, f"one very common opening of a short text {i}") for i in range(300)]  # 4 of 6 k-mers: apart
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i >= 10_000 else i - i % 2 for i, _ in rows}
+
+
 def test_near_duplicates_edges(docs):
     got = order_minhash.near_duplicates(docs).collect()
     by_id = {r["doc_id"]: r for r in got}
