@@ -10,8 +10,11 @@ them), and the aligned common blocks of that many words are deleted from the lat
 A first holder has no earlier copy, so one copy of every line survives. A run whose lines have
 different first holders is aligned with each of them and joined before its length is judged.
 
-Defined results: lines are compared without surrounding spaces, words are counted by spaces; blank
-lines belong to no block and stay; "later" is the larger id; rows with equal ids are
+Defined results: lines are compared without surrounding spaces; words are runs of characters other
+than white space (Unicode's, so tabs and no-break spaces separate too, any number of them once); in
+scripts written without spaces every 2 characters (Han, kana, with their punctuation) or 5 characters
+(Thai, Lao, Khmer, Myanmar) of a run are a word; lines of white space are blank, belong to no block and
+stay; "later" is the larger id; rows with equal ids are
 never compared with each other, rows with a NULL id or text pass unchanged and are no
 partners; a document that loses every line has an empty text, and ``drop_repeated_lines`` drops it. Further
 columns are kept; an empty table gives no rows.
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 from bizlens.llm.common import materialize, unused
 
 MIN_BLOCK_WORDS = 20
+_PAIRS = r"\p{IsHan}\u3001-\u30FF\uFF01-\uFFEF"
+_FIVES = r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: One match per word (Java syntax).
+WORD = rf"(?U)[{_PAIRS}]{{1,2}}|[{_FIVES}]{{1,5}}|[^\s{_PAIRS}{_FIVES}]+"
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,7 +112,7 @@ def _hashed_lines(text: Column) -> Column:
     """Non-blank lines as structs of position, two hashes and words."""
     def one(line: Column, pos: Column) -> Column:
         bare = F.trim(F.rtrim(line, F.lit("\r ")))
-        words = F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+        words = F.regexp_count(bare, F.lit(WORD))
         return F.struct(pos.alias("pos"), F.xxhash64(bare).alias("h"), F.hash(bare).alias("h2"), words.alias("words"))
 
     return F.filter(F.transform(F.split(text, "\n"), one), lambda x: x["words"] > 0)
@@ -166,4 +173,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``delete_repeated_blocks`` without the documents that lose all they had."""
     n = unused(docs, "__deleted_lines")
     cut = delete_repeated_blocks(docs, id_col, text_col, min_block_words, count=n)
-    return cut.where((F.col(n) == 0) | F.col(text_col).isNull() | (F.trim(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) != "")).drop(n)
+    return cut.where((F.col(n) == 0) | F.col(text_col).isNull() | F.col(text_col).rlike(r"(?U)\S")).drop(n)

@@ -106,6 +106,17 @@ def test_line_dedup_edges(docs):
     assert line_alignment.delete_repeated_blocks(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_words_not_spaces(spark):
+    words = [f"shared{i}" for i in range(25)]
+    han, thai = "".join(chr(0x4E00 + i) for i in range(45)), "".join(chr(0x0E01 + i % 46) for i in range(110))
+    long = ["\t".join(words), "\u00a0".join(words[::-1]), "  ".join(words[5:] + words[:5]), han, thai]
+    short = ["Total" + " " * 30 + "12", "\t \u00a0", han[:30][::-1], thai[:60][::-1], "\t".join(words[:19])]
+    rows = [(2 * i + k, f"own {i} {k}\n{line}\nend {i} {k}") for i, line in enumerate(long + short) for k in (0, 1)]
+    got = {r["doc_id"]: r["text"] for r in line_alignment.delete_repeated_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: f"own {d // 2} 1\nend {d // 2} 1" if d % 2 and d // 2 < len(long) else t for d, t in rows}
+    assert got == want
+
+
 def test_patience_matches():
     assert line_alignment.patience_matches("abcxde", "abcde") == [(0, 0), (1, 1), (2, 2), (4, 3), (5, 4)]
     assert line_alignment.patience_matches("", "abc") == []
