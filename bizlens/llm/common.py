@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bizlens.operators.common import materialize
 from bizlens.session import ensure_checkpoint_dir, prepare_session
 
-__all__ = ["batch_rows", "materialize", "read_table", "row_key", "scratch", "unused"]
+__all__ = ["batch_rows", "drop_folder", "materialize", "read_table", "row_key", "scratch", "unused"]
 
 #: Rows per Arrow batch handed to Python: whole texts travel in these batches,
 #: so the default of 10,000 rows would hold gigabytes of long documents.
@@ -32,6 +32,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more, wherever the shared folder lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or with underscores appended, so that it is no column of ``df``."""
     taken = {c.lower() for c in df.columns}

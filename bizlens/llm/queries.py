@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bizlens.llm import embedding_tiles, exact_stream, langid, line_alignment, mixing, order_minhash, pieces, secret_scan, sharding, url_rules
+from bizlens.llm import centroids, embedding_tiles, exact_stream, langid, line_alignment, mixing, order_minhash, pieces, secret_scan, sharding, url_rules
 from bizlens.llm.common import batch_rows, read_table
 from bizlens.llm.registry import ORACLE, QUERIES, register
 
@@ -134,3 +134,35 @@ def op10(spark, sf_dir):
     batch_rows(spark)
     plan = mixing.mix_plan(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_MAX_REPEATS)
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _cluster_sql(clusters: int, rounds: int) -> str:
+    """Plain Lloyd rounds, one pair of CTEs each."""
+    steps = [f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS cluster, v FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), v) <= {clusters})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} AS (
+  SELECT k.r, c.cluster, CAST(list_sum(list_transform(list_zip(k.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM kept k, c{i} c),
+a{i} AS (SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM d{i} GROUP BY r),
+s{i} AS (
+  SELECT cluster, i, sum(x) AS s, count(*) AS n
+  FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i} JOIN kept USING (r)) GROUP BY cluster, i),
+m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{i} GROUP BY cluster),
+c{i + 1} AS (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cluster))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} c USING (cluster)"""
+
+
+@register("op11_centroid_clusters", _cluster_sql(centroids.CLUSTERS, centroids.ROUNDS))
+def op11(spark, sf_dir):
+    batch_rows(spark)
+    return centroids.cluster_report(spark, read_table(spark, sf_dir, "embeddings"))
