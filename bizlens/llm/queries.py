@@ -140,15 +140,15 @@ def _cluster_sql(clusters: int, rounds: int) -> str:
     """Plain Lloyd rounds, one pair of CTEs each."""
     steps = [f"""
 WITH kept AS (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
 c0 AS (
   SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS cluster, v FROM kept
   QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), v) <= {clusters})"""]
     for i in range(rounds + 1):
         steps.append(f"""
 d{i} AS (
-  SELECT k.r, c.cluster, CAST(list_sum(list_transform(list_zip(k.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  SELECT k.r, c.cluster, CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
   FROM kept k, c{i} c),
 a{i} AS (SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM d{i} GROUP BY r),
 s{i} AS (
