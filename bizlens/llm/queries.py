@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bizlens.llm import centroids, embedding_tiles, exact_stream, langid, line_alignment, mixing, order_minhash, pieces, secret_scan, sharding, token_alignment, url_rules
+from bizlens.llm import centroids, embedding_tiles, exact_stream, langid, line_alignment, mixing, ngram_trie, order_minhash, pieces, secret_scan, sharding, token_alignment, url_rules
 from bizlens.llm.common import batch_rows, read_table
 from bizlens.llm.registry import ORACLE, QUERIES, register
 
@@ -168,6 +168,12 @@ def op11(spark, sf_dir):
     return centroids.cluster_report(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+@register("op12_ngram_trie")
+def op12(spark, sf_dir):
+    batch_rows(spark)
+    return ngram_trie.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 @register("op13_merge_path_alignment")
 def op13(spark, sf_dir):
     batch_rows(spark)
