@@ -13,8 +13,9 @@ lie beside them. A trie is one flat run of bytes that is mapped in place (from a
 a query shifts the wanted id by its context's base and searches the successor of that value,
 by one select of zeros and a binary search among the low bits of one bucket.
 
-Work on Spark: texts become blocks of about ``BLOCK_TOKENS`` tokens. The words of all blocks are counted and
-numbered by a grouped sum. Each block sends its distinct n-grams, with the counts of its training documents, to
+Work on Spark: texts become blocks of about ``BLOCK_TOKENS`` tokens, in a table bucketed by block, so that what
+belongs to a block comes to it without moving it. A block's distinct words go to shards by their hash, which count
+and number them. Each block sends its distinct n-grams, with the counts of its training documents, to
 shards by the hash of their first two words (the successors of a hot word are so spread over all shards;
 its own count travels along). A shard adds the counts up, builds its trie and answers every block's n-grams from it;
 blocks turn the answers into scores. Everything that moves is per block and distinct n-gram.
@@ -26,6 +27,8 @@ no rows. A vocabulary of 2^32 words or more is an error.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +44,7 @@ from bizlens.llm.common import materialize, scratch
 ORDER = 3
 #: m of the formula, per order from 2 on (the last one is used beyond).
 PRIOR = (300.0, 5.0)
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 2_500_000
 START, UNKNOWN, FIRST_ID = 0, 1, 2
 #: No word holds white space.
 END = "\n"
@@ -243,29 +246,53 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words in order and the number of words of every text; A-Z in lower case."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-    flat = split.flatten()
-    some = pc.not_equal(flat, "")
-    ends = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[np.asarray(split.offsets) - split.offsets[0].as_py()]
-    return flat.filter(some), np.diff(ends)
+#: What separates words becomes a space, A-Z become lower case, other bytes stay.
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[[*range(9, 14)]] = 32
+_FOLDED[65:91] += 32
 
 
-def _block_batch(block: int, ids: list[pa.Array], held: list[pa.Array], words: list[pa.Array], lengths: list[np.ndarray]) -> pa.RecordBatch:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words (UTF-8) in order and the number of words of every text; A-Z in lower case."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = texts.buffers()[2]
+    folded = _FOLDED[np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    solid = folded != 32
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(solid)]
+    begins[inner] = solid[inner]  # a text ends a word
+    begin = np.flatnonzero(begins)
+    ends = np.append(np.cumsum(solid)[begin] - 1, np.count_nonzero(solid)) if len(begin) else np.zeros(1, np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(folded[solid])])
+    return words, np.diff(np.searchsorted(begin, offsets))
+
+
+def _block_batch(block: int, shards: int, ids: list[pa.Array], held: list[pa.Array], words: list[pa.Array], lengths: list[np.ndarray]) -> pa.RecordBatch:
+    """The block's row, and a row of distinct words with their training counts for every shard of words."""
     held_out, length = pa.concat_arrays(held), np.concatenate(lengths)
     coded = pa.concat_arrays(words).dictionary_encode()
-    local, names = coded.indices.to_numpy(), pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())])
+    local, names = coded.indices.to_numpy(), pa.concat_arrays([coded.dictionary, pa.array([END.encode()], pa.large_binary())])
     train = ~held_out.to_numpy(zero_copy_only=False)
     counts = np.bincount(local, weights=np.repeat(train, length), minlength=len(names)).astype(np.int64)
     counts[-1] = train.sum()
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    home = np.fromiter(map(zlib.crc32, names.to_pylist()), np.int64, len(names)) % shards
+    order, ends = np.argsort(home, kind="stable"), np.cumsum(np.bincount(home, minlength=shards))
+    some = np.flatnonzero(np.diff(ends, prepend=0))
+    parts = [order[e - n:e] for e, n in zip(ends[some], np.diff(ends, prepend=0)[some])]
+    n = len(some)
+    one = lambda values: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.nulls(n, pa.list_(values.type))])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[some]]), pa.int32()), names.take(pa.array(order)).cast(pa.binary()))
     return pa.RecordBatch.from_arrays([
-        pa.array([block]), one(pa.concat_arrays(ids)), one(held_out), pa.array([pack([length, local])], pa.binary()),
-        one(names.cast(pa.string())), one(pa.array(counts))], names=["block", "doc_ids", "held", "tokens", "words", "counts"])
+        pa.array([block] * (n + 1)), one(pa.concat_arrays(ids)), one(held_out), pa.array([pack([length, local]), *[None] * n], pa.binary()),
+        pa.array([len(names), *[None] * n], pa.int32()), pa.array([None, *some.tolist()], pa.int32()), pa.concat_arrays([pa.nulls(1, lists.type), lists]),
+        pa.array([None, *[pack([x, counts[x]]) for x in parts]], pa.binary())],
+        names=["block", "doc_ids", "held", "tokens", "n_words", "shard", "words", "counts"])
 
 
-def _blocks(block_tokens: int):
+def _blocks(block_tokens: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 33, ([], [], [], [])
         size = 0
@@ -277,10 +304,10 @@ def _blocks(block_tokens: int):
                 part.append(value)
             size += len(words) + b.num_rows
             if size >= block_tokens:
-                yield _block_batch(block, *held)
+                yield _block_batch(block, shards, *held)
                 block, held, size = block + 1, ([], [], [], []), 0
         if size:
-            yield _block_batch(block, *held)
+            yield _block_batch(block, shards, *held)
 
     return run
 
@@ -329,13 +356,36 @@ class BlockNgrams:
         return out
 
 
-def _ids_of(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _numbered(shards: int):
+    """Counts and numbers one shard's words, and tells every block its words' ids and counts."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        home = table.column("shard")[0].as_py()
+        lists = table.column("words").chunk(0)
+        which = lists.flatten().dictionary_encode().indices.to_numpy()
+        packed = [unpack(p) for p in table.column("counts").to_pylist()]
+        count = np.bincount(which, weights=_spread([p[1] for p in packed])).astype(np.int64)
+        known = count > 0
+        ids = (np.cumsum(known) - 1) * shards + home + FIRST_ID
+        out, at = [], 0
+        for place, _ in packed:
+            words = which[at:at + len(place)]
+            keep = known[words]
+            out.append(pack([place[keep], ids[words[keep]], count[words[keep]]]))
+            at += len(place)
+        end = lists.flatten().index(END.encode()).as_py() if home == zlib.crc32(END.encode()) % shards else -1
+        totals = [int(count.sum()), int(known.sum()), int(ids[known].max(initial=0)), int(count[which[end]]) if end >= 0 else 0]
+        rest = [pa.array([x, *[None] * len(out)], pa.int64()) for x in totals]
+        return pa.table([pa.array([None, *table.column("block").to_pylist()], pa.int64()), pa.array([None, *out], pa.binary()), *rest],
+                        names=["block", "known", "total", "distinct", "top", "starts"])
+
+    return run
+
+
+def _ids_of(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     """Positions, ids and counts of the known words of the batch's n-th block."""
-    known = batch.column("known").slice(n, 1)
-    if known[0].values is None:
-        return (np.zeros(0, np.int64),) * 3
-    rows = known[0].values
-    return tuple(rows.field(c).to_numpy().astype(np.int64) for c in ("pos", "id", "count"))
+    parts = [unpack(p) for p in batch.column("known")[n].as_py() or []]
+    return [_spread([p[c] for p in parts]) for c in range(3)]
 
 
 def _messages(order: int, shards: int, start_count: int):
@@ -475,22 +525,26 @@ class CorpusModel:
         self.order, self.prior = order, prior
         self.shards = shards or 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.id_type = docs.schema[id_col].dataType
-        path = scratch(self.spark, "ngram-blocks")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         schema = T.StructType([
             T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(self.id_type)), T.StructField("held", T.ArrayType(T.BooleanType())),
-            T.StructField("tokens", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out")).mapInArrow(_blocks(block_tokens), schema).write.parquet(path)
-        blocks = self.spark.read.schema(schema).parquet(path)
-        words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-        vocabulary = materialize(words.groupBy("word").agg(F.sum("n").alias("count")).where("count > 0"))
-        parts, row = vocabulary.rdd.getNumPartitions(), F.monotonically_increasing_id()
-        numbered = vocabulary.withColumn("id", row.bitwiseAND(F.lit(2**33 - 1)) * parts + F.shiftright(row, 33) + FIRST_ID)
-        self.total, self.distinct, top, self.starts = numbered.agg(
-            F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("id"), F.lit(0)), F.coalesce(F.max(F.when(F.col("word") == END, F.col("count"))), F.lit(0))).first()
+            T.StructField("tokens", T.BinaryType()), T.StructField("n_words", T.IntegerType()), T.StructField("shard", T.IntegerType()),
+            T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.BinaryType())])
+        table = f"ngram_blocks_{uuid.uuid4().hex}"
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out")).mapInArrow(_blocks(block_tokens, self.shards), schema)
+        rows.write.bucketBy(buckets, "block").option("path", scratch(self.spark, "ngram-blocks")).saveAsTable(table)
+        stored = self.spark.table(table)
+        words = stored.where(F.col("shard").isNotNull()).select("block", "shard", "words", "counts")
+        longs = ", ".join(f"{c} long" for c in ("total", "distinct", "top", "starts"))
+        numbered = materialize(words.groupBy("shard").applyInArrow(_numbered(self.shards), f"block long, known binary, {longs}"))
+        of_shards = numbered.where(F.col("block").isNull())
+        zero = F.lit(0).cast("long")
+        self.total, self.distinct, top, self.starts = of_shards.agg(
+            F.coalesce(F.sum("total"), zero), F.coalesce(F.sum("distinct"), zero), F.coalesce(F.max("top"), zero), F.coalesce(F.sum("starts"), zero)).first()
         if top >= 2**32:
             raise ValueError(f"{top} word ids do not fit 32 bits")
-        known = words.join(numbered, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "id", "count")).alias("known"))
-        self.blocks, self.known = blocks.withColumn("n_words", F.size("words")).drop("words", "counts"), materialize(known)
+        self.known = numbered.where(F.col("block").isNotNull()).groupBy("block").agg(F.collect_list("known").alias("known"))
+        self.blocks = stored.where(F.col("shard").isNull())
 
     def _coded(self, *columns: str) -> DataFrame:
         return self.blocks.select("block", "held", "tokens", "n_words", *columns).join(self.known, "block", "left")

@@ -81,7 +81,7 @@ def rounded(df):
 
 def test_scores(spark, docs):
     rng = random.Random(4)
-    words = ["The", "a", "of", "Étude", "x-y", "ÀB", "tail", "\x1cq", "u v", *[f"w{i}" for i in range(40)]]
+    words = ["The", "a", "of", "Étude", "x-y", "ÀB", "tail", "à", "Å", "…", "\x85", "\u2003", "\x1cq", "u v", *[f"w{i}" for i in range(40)]]
     rows = [(i, "".join(rng.choice(words[:rng.choice([4, 49])]) + rng.choice([" ", "  ", "\n", "\t\x0b", "\r\n"]) for _ in range(rng.randint(0, 30)))) for i in range(120)]
     rows += [(500, None), (501, ""), (502, " \n"), (None, "the a of"), (3, "the a"), (3, "the a"), (503, "the " * 500), (504, "only here " * 3), (506, "new words all around")]
     df = spark.createDataFrame([(i, t, "1", 2) for i, t in rows], "doc_id long, text string, block string, count int")
