@@ -44,7 +44,7 @@ from bizlens.llm.common import materialize, scratch
 ORDER = 3
 #: m of the formula, per order from 2 on (the last one is used beyond).
 PRIOR = (300.0, 5.0)
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_500_000
 START, UNKNOWN, FIRST_ID = 0, 1, 2
 #: No word holds white space.
 END = "\n"
@@ -124,8 +124,15 @@ class EliasFano:
         last = len(self.high) * 64 - int(self.ones[-1]) - 1  # zeros of the unary part
         beyond = high > last
         h = np.minimum(high, last)
-        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, True) - h + 1, 0)
-        end = np.minimum(self._select(h, self.zeros, True) - h, self.size)
+        # the bucket's ones stand between the zero before it and the next zero
+        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, True) + 1, 0)
+        word = np.minimum(start >> 6, len(self.high) - 1)
+        rest = ~self.high[word] >> (start & 63).astype(np.uint64)
+        rest[start >> 6 != word] = 0
+        stop = start + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        stop[far] = self._select(h[far], self.zeros, True)
+        begin, end = start - h, np.minimum(stop - h, self.size)
         at, stop = np.where(beyond, self.size, begin), np.where(beyond, self.size, end)
         open_ = np.flatnonzero(at < stop)
         lo, hi = at[open_], stop[open_]
@@ -312,14 +319,36 @@ def _blocks(block_tokens: int, shards: int):
     return run
 
 
+def distinct_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (left, right) in order, and the number of every given pair among them."""
+    n = len(left)
+    bits = [int(x).bit_length() for x in (left.max(initial=0), right.max(initial=0), n)]
+    if sum(bits) > 63:
+        keys, which = np.unique(left << 32 | right, return_inverse=True)
+        return keys >> 32, keys & 0xFFFFFFFF, which
+    # pair and position in one number: a plain sort then gives order and places
+    numbers = (left << (bits[1] + bits[2])) | (right << bits[2])
+    numbers |= np.arange(n)
+    numbers.sort()
+    keys = numbers >> bits[2]
+    first = np.ones(n, bool)
+    first[1:] = keys[1:] != keys[:-1]
+    which = np.empty(n, np.int64)
+    which[numbers & ((1 << bits[2]) - 1)] = np.cumsum(first) - 1
+    keys = keys[first]
+    return keys >> bits[1], keys & ((1 << bits[1]) - 1), which
+
+
 class BlockNgrams:
     """The tokens of a block as word ids, and its distinct n-grams per order."""
 
     def __init__(self, tokens: bytes, n_words: int, at: np.ndarray, ids: np.ndarray, order: int):
         self.lengths, local = unpack(tokens)
         self.ends = np.cumsum(self.lengths + 1)
+        # words are numbered within the block in the order of their ids, which keeps the sorts narrow
+        names = np.concatenate([[START, UNKNOWN], np.sort(ids)])
         known = np.full(n_words, UNKNOWN, np.int64)
-        known[at] = ids
+        known[at] = np.searchsorted(names, ids)
         self.local = np.full(int(self.ends[-1]) if len(self.ends) else 0, n_words - 1, np.int64)
         is_word = np.ones(len(self.local), bool)
         is_word[self.ends - 1] = False
@@ -334,11 +363,11 @@ class BlockNgrams:
         parent = before
         for n in range(2, order + 1):
             valid = np.flatnonzero((before != UNKNOWN) & (position >= n - 2) & (parent >= 0))
-            keys, which = np.unique(parent[valid] << 32 | self.word[valid], return_inverse=True)
+            context, last, which = distinct_pairs(parent[valid], self.word[valid])
             self.tokens.append(valid)
             self.ngram.append(which)
-            self.context.append(keys >> 32)
-            self.last.append(keys & 0xFFFFFFFF)
+            self.context.append(names[context] if n == 2 else context)
+            self.last.append(names[last])
             node = np.full(len(self.word), -1, np.int64)
             node[valid] = which
             parent = np.concatenate([[-1], node[:-1]])
@@ -352,7 +381,8 @@ class BlockNgrams:
                 shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
             else:
                 shard = shard[context]
-            out.append((np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))))
+            narrow = shard.astype(np.uint16) if shards <= 2**16 else shard  # 16 bits are sorted by radix
+            out.append((np.argsort(narrow, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))))
         return out
 
 
