@@ -44,7 +44,7 @@ from bizlens.llm.common import materialize, scratch
 ORDER = 3
 #: m of the formula, per order from 2 on (the last one is used beyond).
 PRIOR = (300.0, 5.0)
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 START, UNKNOWN, FIRST_ID = 0, 1, 2
 #: No word holds white space.
 END = "\n"
@@ -279,22 +279,26 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _block_batch(block: int, shards: int, ids: list[pa.Array], held: list[pa.Array], words: list[pa.Array], lengths: list[np.ndarray]) -> pa.RecordBatch:
     """The block's row, and a row of distinct words with their training counts for every shard of words."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
     held_out, length = pa.concat_arrays(held), np.concatenate(lengths)
     coded = pa.concat_arrays(words).dictionary_encode()
     local, names = coded.indices.to_numpy(), pa.concat_arrays([coded.dictionary, pa.array([END.encode()], pa.large_binary())])
     train = ~held_out.to_numpy(zero_copy_only=False)
     counts = np.bincount(local, weights=np.repeat(train, length), minlength=len(names)).astype(np.int64)
     counts[-1] = train.sum()
-    home = np.fromiter(map(zlib.crc32, names.to_pylist()), np.int64, len(names)) % shards
+    spelled = names.to_pylist()
+    home = np.fromiter(map(zlib.crc32, spelled), np.int64, len(spelled)) % shards
     order, ends = np.argsort(home, kind="stable"), np.cumsum(np.bincount(home, minlength=shards))
     some = np.flatnonzero(np.diff(ends, prepend=0))
     parts = [order[e - n:e] for e, n in zip(ends[some], np.diff(ends, prepend=0)[some])]
     n = len(some)
     one = lambda values: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.nulls(n, pa.list_(values.type))])
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[some]]), pa.int32()), names.take(pa.array(order)).cast(pa.binary()))
     return pa.RecordBatch.from_arrays([
         pa.array([block] * (n + 1)), one(pa.concat_arrays(ids)), one(held_out), pa.array([pack([length, local]), *[None] * n], pa.binary()),
-        pa.array([len(names), *[None] * n], pa.int32()), pa.array([None, *some.tolist()], pa.int32()), pa.concat_arrays([pa.nulls(1, lists.type), lists]),
+        pa.array([len(names), *[None] * n], pa.int32()), pa.array([None, *some.tolist()], pa.int32()),
+        pa.array([None, *[press.compress(b" ".join([spelled[i] for i in x.tolist()])) for x in parts]], pa.binary()),
         pa.array([None, *[pack([x, counts[x]]) for x in parts]], pa.binary())],
         names=["block", "doc_ids", "held", "tokens", "n_words", "shard", "words", "counts"])
 
@@ -388,22 +392,24 @@ class BlockNgrams:
 
 def _numbered(shards: int):
     """Counts and numbers one shard's words, and tells every block its words' ids and counts."""
+    import zstandard
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         home = table.column("shard")[0].as_py()
-        lists = table.column("words").chunk(0)
-        which = lists.flatten().dictionary_encode().indices.to_numpy()
+        words = pa.concat_arrays([pa.array(zstandard.ZstdDecompressor().decompress(w).split(b" "), pa.binary()) for w in table.column("words").to_pylist()])
+        which = words.dictionary_encode().indices.to_numpy()
         packed = [unpack(p) for p in table.column("counts").to_pylist()]
         count = np.bincount(which, weights=_spread([p[1] for p in packed])).astype(np.int64)
         known = count > 0
         ids = (np.cumsum(known) - 1) * shards + home + FIRST_ID
         out, at = [], 0
         for place, _ in packed:
-            words = which[at:at + len(place)]
-            keep = known[words]
-            out.append(pack([place[keep], ids[words[keep]], count[words[keep]]]))
+            own = which[at:at + len(place)]
+            keep = known[own]
+            out.append(pack([place[keep], ids[own[keep]], count[own[keep]]]))
             at += len(place)
-        end = lists.flatten().index(END.encode()).as_py() if home == zlib.crc32(END.encode()) % shards else -1
+        end = words.index(END.encode()).as_py() if home == zlib.crc32(END.encode()) % shards else -1
         totals = [int(count.sum()), int(known.sum()), int(ids[known].max(initial=0)), int(count[which[end]]) if end >= 0 else 0]
         rest = [pa.array([x, *[None] * len(out)], pa.int64()) for x in totals]
         return pa.table([pa.array([None, *table.column("block").to_pylist()], pa.int64()), pa.array([None, *out], pa.binary()), *rest],
@@ -559,7 +565,7 @@ class CorpusModel:
         schema = T.StructType([
             T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(self.id_type)), T.StructField("held", T.ArrayType(T.BooleanType())),
             T.StructField("tokens", T.BinaryType()), T.StructField("n_words", T.IntegerType()), T.StructField("shard", T.IntegerType()),
-            T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.BinaryType())])
+            T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType())])
         table = f"ngram_blocks_{uuid.uuid4().hex}"
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out")).mapInArrow(_blocks(block_tokens, self.shards), schema)
         rows.write.bucketBy(buckets, "block").option("path", scratch(self.spark, "ngram-blocks")).saveAsTable(table)
