@@ -105,7 +105,7 @@ def running_total(
     local = ordered.mapInPandas(_local_cumsum(group_cols, value), schema).checkpoint(eager=True)
 
     keys = [PID, *group_cols]
-    slice_totals = local.groupBy(*keys).agg(F.max(LOCAL).alias("_slice_total"))
+    slice_totals = local.groupBy(*keys).agg(F.sum(F.coalesce(value, F.lit(0))).alias("_slice_total"))
     before = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = slice_totals.select(*keys, F.coalesce(F.sum("_slice_total").over(before), F.lit(0)).alias("_slice_offset"))
     if not group_cols:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bizlens.operators.ml import cluster, explain, iforest
+from bizlens.operators.ml import balls, cluster, explain, iforest
 from bizlens.operators.ml import neighbors as nb
 from bizlens.operators.ml.prep import KEY, bounded_sample, numeric_matrix, scale
 from bizlens.plans.oracle import with_views as W
@@ -80,29 +80,46 @@ k AS (SELECT greatest(5, CAST(floor(ln(count(*))) AS INTEGER)) AS k FROM p)
 SELECT vec_id AS id, round(dist, 9) AS kth_distance FROM r WHERE rn = (SELECT k FROM k)""")
 def q_knn_distance(spark, sf):
     """Exact k-distance (k = max(5, int(ln n)), self included) of every embedding, whole table."""
-    from bizlens.operators.ml import epsjoin
-
     points = _embedding_points(spark, sf)
     k = nb.min_samples_for(points.count())
-    out = epsjoin.kth_distance(points, k, nb.start_radius(points, k))
+    out = balls.kth_distance(points, k)
     return out.withColumn("kth_distance", F.round("kth_distance", DIGITS))
 
 
 @register("eps_neighbor_counts", EMB_SQL + f"""
 SELECT vec_id AS id, count(*) AS neighbors FROM d WHERE dist <= {EPS} GROUP BY vec_id""")
 def q_eps_neighbor_counts(spark, sf):
-    """Exact eps-neighbour counts over the whole embeddings table (distributed pivot join)."""
-    from bizlens.operators.ml import epsjoin
-
+    """Exact eps-neighbour counts over the whole embeddings table (distributed ball tree)."""
     points = nb.to_points(views.table(spark, sf, "embeddings"), "vec_id", F.col("embedding"))
-    return epsjoin.eps_neighbor_counts(points, EPS)
+    return balls.eps_neighbor_counts(points, EPS)
 
 
 @register("dbscan_labels")
 def q_dbscan_labels(spark, sf):
     """DBSCAN over the whole embeddings table, eps from the k-distance of all its rows."""
     points = _embedding_points(spark, sf)
-    return nb.dbscan(points, *nb.choose_eps(points))
+    return balls.dbscan(points, *nb.choose_eps(points))
+
+
+DBSCAN_EPS, DBSCAN_MIN = 1.1, 4
+
+
+@register("dbscan_fixed", f"""
+WITH RECURSIVE p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS (SELECT x.vec_id AS a, y.vec_id AS b FROM p x JOIN p y ON list_distance(x.v, y.v) <= {DBSCAN_EPS}),
+core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= {DBSCAN_MIN}),
+linked AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+reach(a, b) AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a),
+members AS (
+  SELECT a AS id, min(b) AS component, true AS is_core FROM reach GROUP BY a
+  UNION ALL
+  SELECT n.a, min(r.b), false FROM near n JOIN reach r ON n.b = r.a WHERE n.a NOT IN (SELECT a FROM core) GROUP BY n.a)
+SELECT p.vec_id AS id, coalesce(dense_rank() OVER (PARTITION BY component IS NULL ORDER BY component) - 1, -1) * CASE WHEN component IS NULL THEN 0 ELSE 1 END
+         - CASE WHEN component IS NULL THEN 1 ELSE 0 END AS label, coalesce(is_core, false) AS is_core
+FROM p LEFT JOIN members m ON m.id = p.vec_id""")
+def q_dbscan_fixed(spark, sf):
+    """DBSCAN at a fixed radius over the whole embeddings table."""
+    return balls.dbscan(_embedding_points(spark, sf), DBSCAN_EPS, DBSCAN_MIN)
 
 
 @register("silhouette_labels", EMB_SQL + """,

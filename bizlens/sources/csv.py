@@ -1,7 +1,7 @@
 """CSV scan with delimiter detection, pandas-style headers and missing tokens,
 and a typing pass (booleans, numbers, then day-first dates).
 
-The header and a few lines are read first, the delimiter is chosen from
+The headers and a few lines are read first, the delimiter of each kind of file is chosen from
 ``, ; tab |`` by how evenly it cuts them, and the body is read by Spark's CSV source as text with that delimiter, so the scan is
 split across tasks like any CSV read. Column types are decided from one
 aggregate over the whole file.
@@ -11,9 +11,13 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bizlens.functions.expr import NUMBER_TEXT, col_ref
 from bizlens.operators.typing import coerce_date_columns
@@ -42,11 +46,23 @@ def sniff_delimiter(*lines: str) -> str:
     return best if fit(best)[0] else ","
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether some line of the text holds an odd number of quotes, so that a record
-    goes on in the next line. One pass that stops at the first such line."""
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def file_layouts(spark: SparkSession, path: str) -> list[tuple[str, bool, list[str]]]:
+    """(header line, whether quoted fields run over lines, files) per kind of file below ``path``.
+
+    One pass over the text: the first line of each file, and whether some line holds an odd number
+    of quotes, so that a record goes on in the next. The driver gets the file names, which it lists for any scan."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    odd = (F.length("value") - F.length(F.translate("value", '"', ""))) % 2 == 1
+    first = F.struct("start", "at")  # lines of one split keep their order
+    files = lines.groupBy("file").agg(F.min_by("value", first).alias("header"), F.max(odd).alias("quoted"))
+    kinds = files.groupBy("header", "quoted").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    found = [(r["header"].lstrip("\ufeff"), r["quoted"], [_plain_path(f) for f in r["files"]]) for r in kinds]
+    return sorted(found, key=lambda kind: kind[2][0])
+
+
+def _plain_path(uri: str) -> str:
+    """A file's URI as a path for a reader: decoded, and not taken as a pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(uri))
 
 
 def header_names(header_line: str, sep: str) -> list[str]:
@@ -69,18 +85,24 @@ def header_names(header_line: str, sep: str) -> list[str]:
 def read_csv(spark: SparkSession, path: str, coerce_dates: bool = True) -> DataFrame:
     """Typed DataFrame of a delimited text file (or folder of them).
 
-    Files are split across tasks; only where a quoted field runs over several
-    lines is each file read by one task, as its records cannot be found from the middle.
+    Files are told apart by their header and put together by column name, in whatever order a file has its
+    columns; a column that a file lacks is missing there. Files are split across tasks; only a file in which a quoted
+    field runs over several lines is read by one task, as its records cannot be found from the middle.
     """
-    lines = [r[0].lstrip("\ufeff") for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-    header = lines[0] if lines else ""
-    sep = sniff_delimiter(*lines)
-    names = header_names(header, sep)
-    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, quote='"', escape='"',
-                         multiLine=has_quoted_newlines(spark, path))
-    raw = raw.toDF(*names[: len(raw.columns)]) if len(raw.columns) == len(names) else raw
-    cleaned = raw.select(*[F.when(F.trim(col_ref(c)).isin(*NA_TOKENS) | col_ref(c).isNull(), None).otherwise(col_ref(c)).alias(c) for c in raw.columns])
-    typed = infer_types(cleaned)
+    parts = []
+    layouts = file_layouts(spark, path)
+    for header, quoted, files in layouts:
+        lines = [r[0].lstrip("\ufeff") for r in spark.read.text(files[0]).limit(SNIFF_LINES).collect()]
+        sep = sniff_delimiter(*lines)
+        names = header_names(header, sep)
+        if not names:
+            continue
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = spark.read.csv(path if len(layouts) == 1 else files, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=quoted)
+        parts.append(raw.select(*[F.when(F.trim(col_ref(c)).isin(*NA_TOKENS) | col_ref(c).isNull(), None).otherwise(col_ref(c)).alias(c) for c in raw.columns]))
+    if not parts:
+        parts = [spark.read.csv(path, header=True, inferSchema=False)]
+    typed = infer_types(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts))
     return coerce_date_columns(typed, min_share=0.5) if coerce_dates else typed
 
 

@@ -180,3 +180,42 @@ def test_first_by_hash_equals_the_plain_top_k(spark, distinct):
     df = spark.range(20_000).select("id", F.xxhash64(F.col("id") % distinct).alias("h"))
     want = [r["id"] for r in df.orderBy("h", "id").limit(50).collect()]
     assert [r["id"] for r in first_by_hash(df, F.col("h"), [F.col("id")], 50, 20_000).collect()] == want
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 8, 64])
+def test_running_total_with_signs(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    v = np.r_[np.full(300, 3), np.full(400, -2), rng.integers(-9, 9, 300)]
+    df = spark.createDataFrame([(i, int(x) if i % 50 else None, "g" if i % 3 else None) for i, x in enumerate(v)], "k int, v int, g string")
+    want = np.cumsum([0 if i % 50 == 0 else x for i, x in enumerate(v)])
+    got = running_total(df, ["k"], "v", num_partitions=ranges).orderBy("k").toPandas()["running_total"].to_numpy()
+    assert (got == want).all()
+    per = running_total(df, ["k"], "v", partition_by=["g"], num_partitions=ranges).toPandas()
+    for g, rows in per.sort_values("k").groupby("g", dropna=False):
+        assert (rows["running_total"].to_numpy() == rows["v"].fillna(0).cumsum().to_numpy()).all()
+
+
+def test_pareto_core_with_negative_products(spark):
+    names = [(f"p{i:04d}", float(i % 97 + 1) if i % 2 else -float(i % 89 + 1)) for i in range(1200)]
+    df = spark.createDataFrame(names, "product string, revenue double")
+    rows = sorted(names, key=lambda r: (-r[1], r[0]))
+    whole = sum(r[1] for r in rows)
+    assert whole != 0
+    roles = {"product": "product", "revenue": "revenue"}
+    one = pareto_core(df.coalesce(1), roles)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = pareto_core(df.repartition(8), roles)
+        assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+        running = np.cumsum([r[1] for r in rows]) / whole
+        assert many.count() == int((running <= 0.8).sum())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_csv_folder_by_column_name(spark, tmp_path):
+    (tmp_path / "a b{1}.csv").write_text('id,price,note\n1,10.5,x\n2,20,"two\nlines"\n')
+    (tmp_path / "b.csv").write_text("price;id\n99.5;3\n1;4\n")
+    (tmp_path / "c.csv").write_text("id,price,note\n5,7,plain\n")
+    got = {r["id"]: (r["price"], r["note"]) for r in read_csv(spark, str(tmp_path)).collect()}
+    assert got == {1: (10.5, "x"), 2: (20.0, "two\nlines"), 3: (99.5, None), 4: (1.0, None), 5: (7.0, "plain")}
