@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from bizlens.functions.expr import col_ref, is_numeric_type, to_number, unbiased_skew
 from bizlens.operators.common import amount, materialize
-from bizlens.operators.prefix import exact_quantiles
+from bizlens.operators.quantiles import column_quantiles
 from bizlens.operators.rules import missing_cells
 from bizlens.operators.typing import choose_value_column, column_kinds
 
@@ -64,32 +64,25 @@ def profile_duplicates(df: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
-def _long_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, value double) for the given columns."""
-    entries = [F.struct(F.lit(c).alias("column_name"), to_number(df, c).alias("value")) for c in columns]
-    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.column_name", "e.value")
-
-
-def profile_describe(df: DataFrame, digits: int = 2) -> DataFrame:
+def profile_describe(df: DataFrame, digits: int = 2, approx: bool = False) -> DataFrame:
     """count, mean, std (ddof 1), min, 25/50/75% (exact, linear), max per numeric column.
 
-    Booleans are left out, as pandas ``describe`` does.
+    Booleans are left out, as pandas ``describe`` does, and so are columns without values. One wide aggregate
+    takes the moments and brackets the quartiles (``quantiles.column_quantiles``). With ``approx`` the quartiles are
+    the sketch's: values of the column whose rank is off by at most 1/10,000 of the rows, in that one pass.
     """
-    cols = [f.name for f in df.schema.fields if is_numeric_type(f.dataType, include_bool=False)]
-    if not cols:
-        return df.sparkSession.createDataFrame([], "column_name string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
-    long = _long_numeric(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    moments = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], group_by=["column_name"], names=["q25", "q50", "q75"])
-    out = moments.join(qs, "column_name", "left")
-    r = lambda name: F.round(F.col(name), digits).alias(name)
-    return out.select("column_name", "count", r("mean"), r("std"), r("min"), r("q25"), r("q50"), r("q75"), r("max"))
+    schema = "column_name string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+    values = {f.name: to_number(df, f.name) for f in df.schema.fields if is_numeric_type(f.dataType, include_bool=False)}
+    if not values:
+        return df.sparkSession.createDataFrame([], schema)
+    moments = {}
+    for i, v in enumerate(values.values()):
+        kept = F.when(~F.isnan(v.cast("double")), v.cast("double"))
+        moments[f"m{i}"] = F.struct(F.count(kept).alias("count"), F.avg(kept).alias("mean"), F.stddev_samp(kept).alias("std"), F.min(kept).alias("min"), F.max(kept).alias("max"))
+    found, of = column_quantiles(df, values, [0.25, 0.5, 0.75], approx, also=moments)
+    rows = [(name, m["count"], m["mean"], m["std"], m["min"], *found[name], m["max"]) for i, name in enumerate(values) if (m := of[f"m{i}"])["count"]]
+    out = df.sparkSession.createDataFrame(rows, schema)
+    return out.select("column_name", "count", *[F.round(c, digits).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 def top_value_share(df: DataFrame, n_columns: int = 3) -> DataFrame:
