@@ -1,15 +1,17 @@
 """Secret scan: fixed patterns plus dictionary-primed compression novelty.
 
-Method: candidates are all runs of key-like characters with letters and digits that follow a
+Method: candidates are all runs of key-like characters that follow a
 sensitive word within ``REACH`` characters, however many there are; a rejected run hides no later one. A zstandard dictionary is primed with the
 identifiers of the corpus; a candidate's marginal bytes are the compressed size of its
 surroundings with the candidate minus the size without it (other copies of the
 candidate are taken out of the surroundings first). Identifiers, paths and repeated text
 shrink against the dictionary or the surroundings; a secret does not: spans whose marginal bytes
-reach ``NOVELTY`` of their length are reported as ``novel`` unless they overlap a base span.
-No code goes below the entropy of a run's alphabet (upper-case hex: 0.5 bytes), which long runs come
-near to; a run of ``LONG`` characters that uses its characters evenly (entropy of their counts at least
-``EVEN`` of the logarithm of their number; words do not) is novel from ``EVEN`` of that entropy on, too.
+reach a share of their length are reported as ``novel`` unless they overlap a base span.
+No code goes below the entropy of a run's alphabet (upper-case hex: 0.5 bytes), so a run is judged by its own: the share is
+``EVEN`` of the entropy of its characters plus what a code needs to start (``START_UP`` characters), at most ``NOVELTY``.
+That holds for runs that mix kinds of characters as random keys do: digits alone, or a change between lower case, upper
+case and digits at ``MIXED`` of the positions or more, with at least ``LEAST_BITS`` of entropy. Names and paths change kind
+seldom and are never reported; a key of one case of letters alone is not told from them.
 
 Base spans, leftmost and non-overlapping per kind (ASCII letters in either case for
 ``assign``): assigned values of 6+ characters, access keys of 20+, hex runs of 24+.
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -56,12 +59,15 @@ REACH = 48
 SURROUNDING = 256
 LEAST = 16
 NOVELTY = 0.75
-LONG = 128
 EVEN = 0.92
+START_UP = 10
+MIXED = 0.15
+LEAST_BITS = 2.5
 _CUE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_ -]?key|credential|bearer|private[_ -]?key|access[_ -]?key|authorization", re.I | re.A)
 _RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{%d,}" % LEAST)
 _NAME_END = re.compile(r"""([A-Za-z_][A-Za-z0-9_]{2,40})["']?\x20*$""")
 _SIGN = re.compile(r"[:=]")
+_CAPITAL = re.compile("U(?=ll)")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -83,13 +89,30 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), last
 
 
+class Taken:
+    """Answers whether a span overlaps one of the given ones, by their sorted union."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for start, end in sorted((s, e) for s, e, _ in spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> Iterator[tuple[int, int]]:
-    """Novel candidates with letters and digits that overlap no span in ``taken``. Of a run that is
+    """Novel candidates that overlap no span in ``taken``. Of a run that is
     not, the parts after sensitive words inside it are judged: ``x_credential=...`` is one run."""
+    covered = Taken(taken)
+
     def novel(start: int, end: int) -> bool:
-        run = text[start:end]
-        return (any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < end and start < e for s, e, _ in taken)
-                and novelty.reached(text, start, end))
+        return not covered.overlaps(start, end) and novelty.reached(text, start, end)
 
     for start, end in candidates(text):
         if novel(start, end):
@@ -121,16 +144,25 @@ class Novelty:
         return (self.size(before + run + after) - self.size(before + after)) / len(run.encode())
 
     def reached(self, text: str, start: int, end: int) -> bool:
-        return self.ratio(text, start, end) >= least_ratio(text[start:end])
+        least = least_ratio(text[start:end])
+        return least is not None and self.ratio(text, start, end) >= least
+
+
+def looks_mixed(run: str) -> bool:
+    """Digits alone, or a change of kind at ``MIXED`` of the positions (a capital before two small letters opens a word)."""
+    kinds = "".join("d" if c.isdigit() else "U" if c.isupper() else "l" if c.islower() else "" for c in run)
+    if not kinds.strip("d"):
+        return len(kinds) >= 0.9 * len(run)
+    kinds = _CAPITAL.sub("l", kinds)
+    return sum(x != y for x, y in zip(kinds, kinds[1:])) >= MIXED * (len(run) - 1)
 
 
-def least_ratio(run: str) -> float:
-    """``NOVELTY``, or less for long runs that use a small alphabet evenly."""
-    if len(run) < LONG:
-        return NOVELTY
-    counts = Counter(run).values()
-    bits = sum(n * math.log2(len(run) / n) for n in counts) / len(run)
-    return min(NOVELTY, EVEN * bits / 8) if bits >= EVEN * math.log2(len(counts)) else NOVELTY
+def least_ratio(run: str) -> float | None:
+    """Marginal bytes per character from which a run is novel; None: never."""
+    bits = sum(n * math.log2(len(run) / n) for n in Counter(run).values()) / len(run)
+    if bits < LEAST_BITS or not looks_mixed(run):
+        return None
+    return min(NOVELTY, EVEN * bits / 8 * (1 + START_UP / len(run)))
 
 
 def find_spans(text: str | None, novelty: Novelty) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -150,7 +182,7 @@ def _count_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text:
                 for sign in _SIGN.finditer(text):
                     m = _NAME_END.search(text[max(0, sign.start() - 48):sign.start()])
-                    if m:
+                    if m and not (len(m[1]) >= LEAST and looks_mixed(m[1])):  # a value before padding is no name
                         found[m[1]] += 1
         if found:
             yield pd.DataFrame(list(found.items()), columns=["name", "n"])

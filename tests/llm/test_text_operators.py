@@ -48,6 +48,35 @@ def test_long_keys_of_small_alphabets_are_novel():
         assert secret_scan.find_spans(f"private key {run} end", novelty)[1] == []
 
 
+def test_keys_of_any_alphabet_and_length_in_prose():
+    rng = random.Random(12)
+    novelty = secret_scan.Novelty(secret_scan.COMMON_NAMES)
+    prose = "the report of the month shows that sales grew in every region and the team was happy with it while customers asked for more colours and faster delivery "
+    alphabets = ("0123456789abcdef", "0123456789ABCDEF", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz",
+                 "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    for alphabet in alphabets:
+        for length in (20, 24, 32, 64, 500, 5000):
+            hits = 0
+            for _ in range(100):
+                head, key = prose + "private key is ", "".join(rng.choices(alphabet, k=length))
+                hits += any(s <= len(head) and len(head) + length <= e for s, e, _ in secret_scan.find_spans(f"{head}{key} and {prose}", novelty)[1])
+            assert hits >= 95, (alphabet, length, hits)
+    for clean in ("production-environment", "administrator.account", "src/utils2/helpers.py", "config_v2.production.settings", "getUserAccountByIdentifier",
+                  "/usr/local/share/doc/readme.txt", "com.example.service.impl.UserService2", "release-notes-2023-final.pdf", "international_standard_9001",
+                  "camelCaseIdentifierNumberOne1", "docs/chapter12/section34.html", "CONSTANT_NAME_FOR_LIMITS_2", "a" * 24, "1" * 24, "AB12" * 6, "-" * 24):
+        assert secret_scan.find_spans(f"{prose}the secret {clean} is {prose}", novelty)[1] == [], clean
+
+
+def test_overlaps_of_spans_against_all_pairs():
+    rng = random.Random(13)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(1, 9), "hex") for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        taken = secret_scan.Taken(spans)
+        for start in range(64):
+            for end in (start + 1, start + 5):
+                assert taken.overlaps(start, end) == any(s < end and start < e for s, e, _ in spans)
+
+
 def test_base_spans_against_plain_regex():
     rng = random.Random(3)
     parts = ["secret", "API_KEY", "apikey", "=", ":", " ", '"', "'", "AKIA", "A1B2", "deadbeef", "0f", "xyz", "pass", "wd", "é", "ſecret"]
