@@ -9,7 +9,7 @@ shrink against the dictionary or the surroundings; a secret does not: spans whos
 reach a share of their length are reported as ``novel`` unless they overlap a base span.
 No code goes below the entropy of a run's alphabet (upper-case hex: 0.5 bytes), so a run is judged by its own: the share is
 ``EVEN`` of the entropy of its characters plus what a code needs to start (``START_UP`` characters), at most ``NOVELTY``.
-That holds for runs that mix kinds of characters as random keys do: digits alone, or a change between lower case, upper
+That holds for runs that mix kinds of characters as random keys do: digits alone, capitals with digits, or a change between lower case, upper
 case and digits at ``MIXED`` of the positions or more, with at least ``LEAST_BITS`` of entropy. Names and paths change kind
 seldom and are never reported; a key of one case of letters alone is not told from them.
 
@@ -149,10 +149,13 @@ class Novelty:
 
 
 def looks_mixed(run: str) -> bool:
-    """Digits alone, or a change of kind at ``MIXED`` of the positions (a capital before two small letters opens a word)."""
+    """Digits alone, or a change of kind at ``MIXED`` of the positions (a capital before two small letters opens a word),
+    or capitals and digits with nothing between them."""
     kinds = "".join("d" if c.isdigit() else "U" if c.isupper() else "l" if c.islower() else "" for c in run)
     if not kinds.strip("d"):
         return len(kinds) >= 0.9 * len(run)
+    if "l" not in kinds and "d" in kinds and len(kinds) == len(run):
+        return True
     kinds = _CAPITAL.sub("l", kinds)
     return sum(x != y for x, y in zip(kinds, kinds[1:])) >= MIXED * (len(run) - 1)
 
