@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,10 +43,12 @@ UNDETERMINED = "und"
 CACHE_WORDS = 200_000
 _SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that are no decimal digits, as in squares and halves: word characters, but no letters.
+_NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("No", "Nl")) + "]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(_NUMERAL.sub(" ", text.lower()))
 
 
 def grams_of(word: str, order: int) -> list[str]:
