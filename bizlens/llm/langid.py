@@ -44,11 +44,14 @@ CACHE_WORDS = 200_000
 _SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 #: Numerals that are no decimal digits, as in squares and halves: word characters, but no letters.
-_NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("No", "Nl")) + "]+")
+_NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("No", "Nl"))
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(_NUMERAL.sub(" ", text.lower()))
+    text = text.lower()
+    if not _NUMERALS.isdisjoint(text):
+        text = "".join(" " if c in _NUMERALS else c for c in text)
+    return _WORD.findall(text)
 
 
 def grams_of(word: str, order: int) -> list[str]:
