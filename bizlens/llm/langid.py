@@ -7,10 +7,9 @@ language with the largest sum wins.
 
 The classifier is fitted on a bounded sample of labelled rows: about ``sample_docs`` whole
 documents per language, chosen by a hash of the id (all documents of a language that has
-fewer). Words and n-grams are counted by Spark over that sample; of each, the
-most frequent up to ``table_size`` entries (all entries of one count in or out) make the
-broadcast model, whose size these two parameters bound. Rows with ``crc32(id) mod 5 = 0``
-are held out of training.
+fewer). Words and n-grams are counted by Spark over that sample, and all of them make the
+broadcast model: the sample bounds its size, no entry is left out. Rows with
+``crc32(id) mod 5 = 0`` are held out of training.
 
 Defined results: NULL text and text without a letter give ``und`` with score 0, as does
 everything when there is no labelled row; ties go to the first language in code point order;
@@ -35,7 +34,6 @@ from pyspark.sql import functions as F
 from bizlens.llm.common import materialize, unused
 
 SAMPLE_DOCS = 2_000
-TABLE_SIZE = 60_000
 ORDERS = (5, 4, 3, 2, 1)
 FOLDS = 5
 UNDETERMINED = "und"
@@ -169,23 +167,6 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _rows(found)
 
 
-def _frequent(counts: DataFrame, table_size: int) -> pd.DataFrame:
-    """The most frequent items with their counts per language: at most ``table_size`` items."""
-    totals = counts.groupBy("item").agg(F.sum("n").alias("total"))
-    # one row per distinct count of a bounded sample
-    by_count = totals.groupBy("total").agg(F.count(F.lit(1)).alias("items")).collect()
-    least, room = None, table_size
-    for row in sorted(by_count, key=lambda r: -r["total"]):
-        room -= row["items"]
-        if room < 0:
-            break
-        least = row["total"]
-    if least is None:
-        return pd.DataFrame({"lang": [], "item": [], "n": []})
-    kept = totals.where(F.col("total") >= least).select("item")
-    return counts.join(kept, "item").select("lang", "item", "n").toPandas()
-
-
 def _table(counts: pd.DataFrame, langs: list[str], sizes: dict[int, dict[str, float]], order_of) -> Table:
     """Smoothed log frequencies; ``sizes``: items counted per order and language."""
     place, items = pd.factorize(counts["item"], sort=True)
@@ -201,7 +182,7 @@ def _table(counts: pd.DataFrame, langs: list[str], sizes: dict[int, dict[str, fl
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE) -> Model:
+          sample_docs: int = SAMPLE_DOCS) -> Model:
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id")) != 0))
     per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -214,14 +195,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     words = materialize(sample.mapInPandas(_count_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
     grams = materialize(words.mapInPandas(_count_grams, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
     word_sizes = {r["lang"]: float(r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    known = _table(_frequent(words, table_size), langs, {1: word_sizes}, lambda item: 1)
+    # counts of a bounded sample: the model itself, one row per language and item
+    known = _table(words.toPandas(), langs, {1: word_sizes}, lambda item: 1)
     order = F.length("item")
     sums = grams.groupBy(order.alias("gram_order"), "lang").agg(F.sum("n").alias("n")).collect()
     gram_sizes: dict[int, dict[str, float]] = {o: {} for o in ORDERS}
     for r in sums:
         gram_sizes[r["gram_order"]][r["lang"]] = float(r["n"])
-    frequent = pd.concat([_frequent(grams.where(order == o), table_size) for o in ORDERS])
-    return Model(langs, known, _table(frequent, langs, gram_sizes, len))
+    return Model(langs, known, _table(grams.toPandas(), langs, gram_sizes, len))
 
 
 def predict_column(docs: DataFrame, text: Column, model: Model) -> Column:
