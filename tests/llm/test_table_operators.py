@@ -107,6 +107,25 @@ def test_mixing(spark, docs):
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
+def test_mixing_splits_hot_ids(spark):
+    rng = random.Random(7)
+    texts = [" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    unlike = [(None, t, s) for t, s in zip(texts, ["a", "b"] * 200)] + [(i, t, s) for i, (t, s) in enumerate(zip(texts, ["a", "b"] * 200))]
+    alike = [(5, "one two three", "a")] * 500 + [(i, "one two three", "b") for i in range(10, 300)] + [(None, None, "c")] * 40
+    for rows in (unlike, alike):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        got = mixing.mix_plan(df).collect()
+        assert len(got) == len(rows)
+        taken, target = Counter(), {}
+        for r in got:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+            assert r["taken"] <= 3 * r["size"]
+        assert all(abs(taken[s] - target[s]) <= 30 for s in target)
+        mixed = Counter(r["source"] for r in mixing.mix_documents(df).collect())
+        assert mixed == Counter({s: n for s in target if (n := sum(r["times"] for r in got if r["source"] == s))})
+
+
 def _path(n, order):
     return [(order[i], order[i + 1]) for i in range(n - 1)]
 
