@@ -6,6 +6,8 @@ pairs. Only runs of repeated lines of at least ``MIN_BLOCK_WORDS`` words are rar
 to matter: their documents are paired with the first holders of their lines, the two line
 sequences are aligned with patience diff (lines unique to both sides, then the gaps between
 them), and the aligned common blocks of that many words are deleted from the later document.
+An alignment keeps one order of the lines; common blocks of that many words that stand in another order are then
+looked for among the lines it left over, each from a line that occurs there on both sides.
 
 A first holder has no earlier copy, so one copy of every line survives. A run whose lines have
 different first holders is aligned with each of them and joined before its length is judged.
@@ -102,10 +104,57 @@ def patience_matches(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        hit = [[j for _, j in patience_matches(a.tolist(), b.tolist())] for a, b in zip(pdf["first_lines"], pdf["own_lines"])]
-        yield pd.DataFrame({"id": pdf["id"], "place": pdf["place"], "aligned": hit})
+def moved_matches(a: Sequence, b: Sequence, words: Sequence[int], matches: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """(i, j) of the blocks of ``least`` words or more that ``matches`` left over on both sides, in whatever
+    order they stand. ``words`` are those of the lines of ``b``."""
+    used_a, used_b = {i for i, _ in matches}, {j for _, j in matches}
+    out: list[tuple[int, int]] = []
+
+    def free(i: int, j: int) -> bool:
+        return 0 <= i < len(a) and 0 <= j < len(b) and a[i] == b[j] and i not in used_a and j not in used_b
+
+    while True:
+        places: dict = {}
+        for i in range(len(a)):
+            if i not in used_a:
+                places.setdefault(a[i], []).append(i)
+        nth: Counter = Counter()
+        anchors = []
+        for j in range(len(b)):
+            if j not in used_b and nth[b[j]] < len(places.get(b[j], ())):
+                anchors.append((places[b[j]][nth[b[j]]], j))
+                nth[b[j]] += 1
+        before, judged = len(out), set()
+        for i, j in anchors:
+            if (i, j) in judged or not free(i, j):
+                continue
+            back = 0
+            while free(i - back - 1, j - back - 1):
+                back += 1
+            block = []
+            while free(i - back, j - back):
+                block.append((i - back, j - back))
+                back -= 1
+            judged.update(block)
+            if sum(words[y] for _, y in block) >= least:
+                out += block
+                used_a.update(x for x, _ in block)
+                used_b.update(y for _, y in block)
+        if len(out) == before:
+            return out
+
+
+def _aligner(least: int):
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hit = []
+            for first, own, words in zip(pdf["first_lines"], pdf["own_lines"], pdf["own_words"]):
+                a, b = first.tolist(), own.tolist()
+                matches = patience_matches(a, b)
+                hit.append([j for _, j in matches + moved_matches(a, b, words.tolist(), matches, least)])
+            yield pd.DataFrame({"id": pdf["id"], "place": pdf["place"], "aligned": hit})
+
+    return align
 
 
 def _hashed_lines(text: Column) -> Column:
@@ -136,11 +185,11 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one row per position even when a repeated row has brought it twice
     repeated = repeated.groupBy("id", "place", "idx").agg(F.first("words").alias("words"), F.first("first").alias("first"))
     pairs = _long_runs(repeated, min_block_words).select("id", "place", "first").distinct()
-    hashes = lines.select("id", "place", F.col("lines.h").alias("own_lines")).dropDuplicates(["id", "place"])
+    hashes = lines.select("id", "place", F.col("lines.h").alias("own_lines"), F.col("lines.words").alias("own_words")).dropDuplicates(["id", "place"])
     partners = hashes.select(F.col("id").alias("first"), F.col("own_lines").alias("first_lines"))
     aligned = (
-        pairs.join(hashes, ["id", "place"]).join(partners, "first").select("id", "place", "first_lines", "own_lines")
-        .mapInPandas(_align, f"id {docs.schema[id_col].dataType.simpleString()}, place long, aligned array<int>")
+        pairs.join(hashes, ["id", "place"]).join(partners, "first").select("id", "place", "first_lines", "own_lines", "own_words")
+        .mapInPandas(_aligner(min_block_words), f"id {docs.schema[id_col].dataType.simpleString()}, place long, aligned array<int>")
     )
     marked = aligned.select("id", "place", F.explode("aligned").alias("idx")).distinct()
     where = lines.select("id", "place", "lines").dropDuplicates(["id", "place"])

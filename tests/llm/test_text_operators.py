@@ -146,6 +146,26 @@ def test_line_dedup_counts_words_not_spaces(spark):
     assert got == want
 
 
+def test_line_dedup_takes_blocks_in_any_order(spark):
+    p, q, r = ([f"{name}{i} " + " ".join(f"{name}{i}x{k}" for k in range(9)) for i in range(3)] for name in "pqr")
+    rows = [(1, "\n".join([*p, "between", *q, "and", *r])), (2, "\n".join(["own", *r, "mine", *q, "more", *p])),
+            (3, "\n".join([q[0], "x", r[0], "y", p[0]])), (4, "\n".join([*q, *p, *q, "tail"]))]
+    got = {d["doc_id"]: d["text"] for d in line_alignment.delete_repeated_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "own\nmine\nmore", 3: rows[2][1], 4: "\n".join([*q, "tail"])}
+
+
+def test_moved_matches():
+    a, b = list("abcdefgh"), list("efghXabcd")
+    first = line_alignment.patience_matches(a, b)
+    moved = line_alignment.moved_matches(a, b, [1] * 9, first, 4)
+    assert sorted(j for _, j in first + moved) == [0, 1, 2, 3, 5, 6, 7, 8] and all(a[i] == b[j] for i, j in moved)
+    assert line_alignment.moved_matches(a, b, [1] * 9, first, 5) == []
+    n = 20_000  # single lines in reverse order: one pass
+    back = list(range(n))[::-1]
+    first = line_alignment.patience_matches(list(range(n)), back)
+    assert len(first) + len(line_alignment.moved_matches(list(range(n)), back, [25] * n, first, 20)) == n
+
+
 def test_patience_matches():
     assert line_alignment.patience_matches("abcxde", "abcde") == [(0, 0), (1, 1), (2, 2), (4, 3), (5, 4)]
     assert line_alignment.patience_matches("", "abc") == []
