@@ -68,6 +68,28 @@ def q_rule_product_dependency(spark, sf):
     return rules.rule_product_dependency(df, roles)
 
 
+@register("rule_category_dependency_promo", W("sales_promo") + """
+SELECT 2 AS rank, 'category_dependency' AS rule,
+       'Компания сильно зависит от одной категории товаров. Это повышает риск просадки при изменении спроса.' AS text
+FROM (SELECT max(s) AS top, sum(s) AS total FROM
+      (SELECT category, CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS s FROM sales_promo WHERE category IS NOT NULL GROUP BY category))
+WHERE total > 0 AND top / total > 0.5""")
+def q_rule_category_dependency_promo(spark, sf):
+    df = views.sales_promo(spark, sf)
+    return rules.rule_category_dependency(df, detect_roles(df))
+
+
+@register("rule_product_dependency_promo", W("sales_promo") + """
+SELECT 3 AS rank, 'product_dependency' AS rule,
+       'Высокая зависимость от одного товара: один продукт приносит более 40% выручки.' AS text
+FROM (SELECT max(s) AS top, sum(s) AS total FROM
+      (SELECT product, CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS s FROM sales_promo WHERE product IS NOT NULL GROUP BY product))
+WHERE total > 0 AND top / total > 0.4""")
+def q_rule_product_dependency_promo(spark, sf):
+    df = views.sales_promo(spark, sf)
+    return rules.rule_product_dependency(df, detect_roles(df))
+
+
 TREND_SQL = """
 d AS (SELECT order_date AS ds, sum(revenue) AS y FROM sales WHERE order_date IS NOT NULL AND revenue IS NOT NULL GROUP BY 1),
 spine AS (SELECT CAST(unnest(generate_series(CAST((SELECT min(ds) FROM d) AS TIMESTAMP),

@@ -19,6 +19,9 @@ VIEW_SQL = {
   SELECT * FROM sales WHERE order_date < DATE '1998-04-01' AND category <> 'PROMO')""",
     "sales_b": """sales_b AS (
   SELECT * FROM sales WHERE order_date >= DATE '1998-04-01' AND category <> 'ECONOMY')""",
+    "sales_promo": """sales_promo AS (
+  SELECT * REPLACE (CASE WHEN category = 'PROMO' THEN 'PROMO' ELSE product END AS product,
+                    CASE WHEN category = 'PROMO' THEN revenue * 100 ELSE revenue END AS revenue) FROM sales)""",
     "inventory": """inventory AS (
   SELECT concat(p_name, ' #', CAST(p_partkey AS VARCHAR)) AS product, CAST(p_size AS DOUBLE) AS stock,
          coalesce(q.qty, 0) AS quantity
@@ -39,7 +42,7 @@ VIEW_SQL = {
 }
 
 # views that other views are built from
-VIEW_DEPS = {"sales_a": ["sales"], "sales_b": ["sales"]}
+VIEW_DEPS = {"sales_a": ["sales"], "sales_b": ["sales"], "sales_promo": ["sales"]}
 
 
 def with_views(*views: str) -> str:

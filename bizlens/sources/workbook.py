@@ -1,31 +1,33 @@
-"""Workbook scan: the first sheet of many ``.xlsx`` files, one task per file.
-
-A Python Data Source (``spark.read.format("xlsx")``): each input partition is
-one workbook, read with the standard library (the file is a zip of XML
-parts). Cells come back as text (shared strings resolved, inline strings and
-numbers as written, numbers under a date number format as
-``yyyy-MM-dd HH:mm:ss``); the first row is the header, named pandas-style.
-Types are then inferred with the same pass as the CSV reader, and columns of
-date cells become timestamps.
+"""Workbook scan: the first sheet of many ``.xlsx`` files, whole files per task.
+
+The files are read by Spark's ``binaryFile`` source, so they may lie on any storage Spark reads; only tasks see their
+bytes. A workbook is a zip of XML parts; its sheet is parsed row by row with the standard library. Cells come back
+as text (shared strings resolved, inline strings and numbers as written, numbers under a date number format as
+``yyyy-MM-dd HH:mm:ss``); the first row is the header, named pandas-style. Types are then inferred with the same pass
+as the CSV reader, and columns of date cells become timestamps.
+
+Memory of a task: the bytes of the files of its split (``spark.sql.files.maxPartitionBytes``, or one larger file), the
+shared strings of one workbook and ``BATCH_ROWS`` rows. The header pass stops after the first row of each sheet.
 """
 
 from __future__ import annotations
 
 import datetime
-import glob
-import os
+import io
 import re
 import zipfile
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from bizlens.functions.expr import col_ref
 
+#: Rows handed to Spark at a time.
+BATCH_ROWS = 5000
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 # Built-in number formats that show dates or times (ECMA-376 numFmtId).
 DATE_FORMAT_IDS = frozenset(range(14, 23)) | frozenset(range(45, 48))
@@ -78,43 +80,52 @@ def _serial_to_text(value: str, epoch: datetime.datetime) -> str:
     return moment.replace(microsecond=0).strftime("%Y-%m-%d %H:%M:%S")
 
 
-def read_sheet_rows(path: str) -> list[list[str | None]]:
-    with zipfile.ZipFile(path) as z:
+def _parts(z: zipfile.ZipFile, part: str, tag: str) -> Iterator[ET.Element]:
+    """The elements ``tag`` of an XML part one by one, each dropped after its use."""
+    with z.open(part) as f:
+        path: list[ET.Element] = []
+        for event, e in ET.iterparse(f, events=("start", "end")):
+            if event == "start":
+                path.append(e)
+                continue
+            path.pop()
+            if e.tag == tag:
+                yield e
+                path[-1].remove(e)
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """The rows of a workbook's first sheet as text cells, read on as they are taken."""
+    main = f"{{{NS['m']}}}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         date_styles = _date_styles(z)
-        wb = ET.fromstring(z.read("xl/workbook.xml"))
-        pr = wb.find("m:workbookPr", NS)
+        pr = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", NS)
         epoch = EPOCH_1904 if pr is not None and pr.get("date1904") in ("1", "true") else EPOCH_1900
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{NS['m']}}}t")))
-        sheet = ET.fromstring(z.read(_first_sheet_name(z)))
-        rows = []
-        for row in sheet.iter(f"{{{NS['m']}}}row"):
-            values: dict[int, str | None] = {}
+            shared = ["".join(t.text or "" for t in si.iter(main + "t")) for si in _parts(z, "xl/sharedStrings.xml", main + "si")]
+
+        def text_of(c: ET.Element) -> str | None:
+            kind, v = c.get("t"), c.find("m:v", NS)
+            if kind == "inlineStr":
+                return "".join(t.text or "" for t in c.iter(main + "t"))
+            if v is None or v.text is None:
+                return None
+            if kind == "s":
+                return shared[int(v.text)]
+            if kind == "b":
+                return "True" if v.text.strip() == "1" else "False"
+            if kind in (None, "n") and int(c.get("s", "0")) in date_styles:
+                return _serial_to_text(v.text, epoch)
+            return v.text
+
+        for row in _parts(z, _first_sheet_name(z), main + "row"):
+            values: list[str | None] = []
             for c in row.findall("m:c", NS):
-                kind = c.get("t")
-                v = c.find("m:v", NS)
-                if kind == "s" and v is not None:
-                    text = shared[int(v.text)]
-                elif kind == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{{{NS['m']}}}t"))
-                else:
-                    text = v.text if v is not None else None
-                    if kind == "b" and text is not None:
-                        text = "True" if text.strip() == "1" else "False"
-                    if text is not None and kind in (None, "n") and int(c.get("s", "0")) in date_styles:
-                        text = _serial_to_text(text, epoch)
-                values[_col_index(c.get("r"))] = text
-            width = max(values) + 1 if values else 0
-            rows.append([values.get(i) for i in range(width)])
-        return rows
-
-
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+                at = _col_index(c.get("r")) if c.get("r") else len(values)
+                values += [None] * (at + 1 - len(values))
+                values[at] = text_of(c)
+            yield values
 
 
 def sheet_names(header: list[str | None]) -> list[str]:
@@ -124,69 +135,59 @@ def sheet_names(header: list[str | None]) -> list[str]:
     return header_names(",".join('"' + (h or "").replace('"', '""') + '"' for h in header), ",") if header else []
 
 
-class WorkbookReader(DataSourceReader):
-    """Rows of each workbook, its cells put under the columns of their names."""
-
-    def __init__(self, files: list[str], columns: list[str]):
-        self.files = files
-        self.columns = columns
-
-    def partitions(self):
-        return [_FilePartition(f) for f in self.files]
-
-    def read(self, partition):
-        rows = read_sheet_rows(partition.path)
-        at = {name: i for i, name in enumerate(sheet_names(rows[0]))} if rows else {}
-        places = [at.get(c, -1) for c in self.columns]
-        for r in rows[1:]:
-            yield tuple((r[i] or None) if 0 <= i < len(r) else None for i in places)
-
-
-def workbook_files(path: str) -> list[str]:
-    return sorted(glob.glob(os.path.join(path, "*.xlsx") if os.path.isdir(path) else path))
-
-
-class WorkbookDataSource(DataSource):
-    """``spark.read.format("xlsx").load(path_or_glob)``. The columns are those of all
-    files, in the order of their first appearance; a file without one gives NULLs."""
-
-    @classmethod
-    def name(cls):
-        return "xlsx"
-
-    def schema(self):
-        names = [n for f in workbook_files(self.options.get("path")) for n in sheet_names((read_sheet_rows(f) or [[]])[0])]
-        return workbook_schema(names)
-
-    def reader(self, schema: StructType):
-        return WorkbookReader(workbook_files(self.options.get("path")), schema.names)
+def workbook_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the workbooks at ``path``: a folder, a file or a pattern."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
 
 
 def workbook_schema(names: list[str]) -> StructType:
     return StructType([StructField(n, StringType()) for n in dict.fromkeys(names)])
 
 
-def _headers(batches):
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for n, path in zip(pdf["n"], pdf["path"]):
-            names = sheet_names((read_sheet_rows(path) or [[]])[0])
-            yield pd.DataFrame({"n": n, "pos": range(len(names)), "name": names})
-
-
-def union_schema(spark: SparkSession, path: str) -> StructType:
-    """Columns of all workbooks under ``path``: headers are read by tasks, one row per
-    distinct name comes back."""
-    files = spark.createDataFrame(list(enumerate(workbook_files(path))), "n long, path string")
-    names = files.mapInPandas(_headers, "n long, pos long, name string").groupBy("name").agg(F.min(F.struct("n", "pos")).alias("first"))
+        for path, content in zip(pdf["path"], pdf["content"]):
+            names = sheet_names(next(sheet_rows(content), []))
+            yield pd.DataFrame({"path": path, "pos": range(len(names)), "name": names})
+
+
+def _reader(columns: list[str]):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                rows = sheet_rows(content)
+                at = {name: i for i, name in enumerate(sheet_names(next(rows, [])))}
+                places = [at.get(c, -1) for c in columns]
+                out = []
+                for r in rows:
+                    out.append([(r[i] or None) if 0 <= i < len(r) else None for i in places])
+                    if len(out) == BATCH_ROWS:
+                        yield pd.DataFrame(out, columns=columns, dtype=object)
+                        out = []
+                yield pd.DataFrame(out, columns=columns, dtype=object)
+
+    return read
+
+
+def union_schema(files: DataFrame) -> StructType:
+    """Columns of all workbooks in the order of their first appearance by path: headers are read by
+    tasks, one row per distinct name comes back."""
+    names = files.mapInPandas(_headers, "path string, pos long, name string").groupBy("name").agg(F.min(F.struct("path", "pos")).alias("first"))
     return workbook_schema([r["name"] for r in names.orderBy("first").collect()])
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Typed DataFrame of the first sheets of all workbooks under ``path``, columns by name."""
+    """Typed DataFrame of the first sheets of all workbooks under ``path``, columns by name; a
+    workbook without a column gives NULLs there. No column at all gives an empty frame."""
+    from bizlens.session import prepare_session
     from bizlens.sources.csv import NA_TOKENS, infer_types
 
-    spark.dataSource.register(WorkbookDataSource)
-    raw = spark.read.format("xlsx").schema(union_schema(spark, path)).load(path)
+    prepare_session(spark)
+    files = workbook_files(spark, path)
+    schema = union_schema(files)
+    if not schema.names:
+        return spark.createDataFrame([], schema)
+    raw = files.mapInPandas(_reader(schema.names), schema)
     cleaned = raw.select(*[F.when(F.trim(col_ref(c)).isin(*NA_TOKENS), None).otherwise(col_ref(c)).alias(c) for c in raw.columns])
     typed = infer_types(cleaned)
     # date-formatted cells arrive as "yyyy-MM-dd HH:mm:ss": such columns become timestamps (one aggregate)

@@ -82,6 +82,64 @@ def test_stream_ingest(spark, tmp_dir):
     assert len(runs) == 2 and all('"missing_total":1' in r["payload"] for r in runs)
 
 
+def test_file_ingest_types_each_file(spark, tmp_dir):
+    import json
+
+    from bizlens.streaming.files import start_file_ingest
+
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+
+    def put(name, text):
+        with open(os.path.join(src, name), "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+
+    put("a [1].csv", 'date;amount;note\r\n01/02/2024;1,5;"x\ny"\r\n02/02/2024;2;NA\r\n03/02/2024;;z\r\n03/02/2024;;z\r\n')
+    put("b.csv", "id,flag,price\n1,true,2.5\n2,false,3\n")
+    put("broken.csv", "a,b\n1,2\n1,2,3\n")
+    put("empty.csv", "\n\n")
+    put("huge.csv", "a\n" + "1\n" * 5000)
+    put("notes.txt", "hello")
+    _write_xlsx(os.path.join(src, "w.xlsx"), [["product", "revenue"], ["p", 10], ["q", 1.5]])
+    with open(os.path.join(src, "bad.xlsx"), "wb") as f:
+        f.write(b"no zip")
+    paths = [os.path.join(tmp_dir, x) for x in ("ledger", "rejected", "ckpt")]
+
+    def run():
+        start_file_ingest(spark, src, *paths, cap=5000).awaitTermination(200)
+        runs = {os.path.basename(r["file_name"]): json.loads(r["payload"]) for r in spark.read.parquet(paths[0]).collect()}
+        refused = [os.path.basename(r["file"]) for r in spark.read.parquet(paths[1]).collect()]
+        return runs, sorted(refused), spark.read.parquet(paths[0]).count()
+
+    runs, refused, n = run()
+    assert n == 3 and refused == ["bad.xlsx", "broken.csv", "empty.csv", "huge.csv", "notes.txt"]
+    a = runs["a [1].csv"]
+    assert a["kpis"] == {"rows": 4, "columns": 3, "missing_total": 3, "duplicates": 1}
+    assert (a["numeric_columns"], a["date_columns"], a["categorical_columns"]) == ([], ["date"], ["amount", "note"])
+    assert runs["b.csv"]["numeric_columns"] == ["id", "flag", "price"] and runs["w.xlsx"]["numeric_columns"] == ["revenue"]
+    put("late.csv", "k\tv\n1\tx\n")
+    runs, refused, n = run()  # a restart takes only what is new
+    assert n == 4 and len(refused) == 5 and runs["late.csv"]["categorical_columns"] == ["v"]
+
+
+def test_workbooks_of_several_batches_and_loose_cells(spark, tmp_dir, monkeypatch):
+    from bizlens.sources import workbook
+
+    _write_xlsx(os.path.join(tmp_dir, "long [x].xlsx"), [["k"], *[[i] for i in range(12_001)]])
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(os.path.join(tmp_dir, "z.xlsx"), "w") as z:  # cells without places
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S" sheetId="1"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c t="inlineStr"><is><t>k</t></is></c><c t="inlineStr"><is><t>x</t></is></c></row>'
+                   '<row><c><v>-1</v></c><c t="b"><v>1</v></c></row><row/></sheetData></worksheet>')
+    got = read_workbooks(spark, tmp_dir)
+    assert got.columns == ["k", "x"] and dict(got.dtypes)["k"] == "bigint"
+    assert got.agg({"k": "sum"}).first()[0] == sum(range(12_001)) - 1 and got.count() == 12_003
+    os.makedirs(os.path.join(tmp_dir, "none"))
+    _write_xlsx(os.path.join(tmp_dir, "none", "e.xlsx"), [])
+    assert read_workbooks(spark, os.path.join(tmp_dir, "none")).count() == 0
+    assert next(workbook.sheet_rows(open(os.path.join(tmp_dir, "z.xlsx"), "rb").read())) == ["k", "x"]
+
+
 def test_workbook_date_cells(spark, tmp_dir):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     path = os.path.join(tmp_dir, "d.xlsx")
