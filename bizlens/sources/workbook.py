@@ -148,7 +148,8 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             names = sheet_names(next(sheet_rows(content), []))
-            yield pd.DataFrame({"path": path, "pos": range(len(names)), "name": names})
+            if names:
+                yield pd.DataFrame({"path": path, "pos": range(len(names)), "name": names})
 
 
 def _reader(columns: list[str]):
