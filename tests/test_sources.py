@@ -1,6 +1,11 @@
 import os
+import random
+import tempfile
 import zipfile
 
+import pytest
+
+from bizlens.sources import csv as csv_source
 from bizlens.sources import ledger
 from bizlens.sources.csv import header_names, read_csv, sniff_delimiter
 from bizlens.sources.workbook import read_workbooks
@@ -158,3 +163,48 @@ def test_workbook_date_cells(spark, tmp_dir):
     assert types["when"].startswith("timestamp") and types["qty"] == "bigint"
     got = sorted(str(r["when"]) for r in df.collect())
     assert got == ["2024-01-01 00:00:00", "2024-01-02 12:00:00"]
+
+
+def _random_csv(rng, rows, newline):
+    fields = ["x", "", "12", "a b", '"q,r"', '"two\nlines"', '"say ""hi"" \n\n, now"', '5" pipe', '"', '""', '"a""\n"', "tail\"", '"' + "long\n" * 30 + '"']
+    weights = [12, 3, 6, 6, 3, 3, 2, 1, 0, 2, 1, 1, 1]
+    lines = [",".join(rng.choices(fields, weights, k=3)) for _ in range(rows)]
+    return "k,v,w" + newline + newline.join(lines) + newline
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_quoted_records_of_many_splits_equal_the_whole_file_reader(spark, tmp_dir, newline):
+    rng = random.Random(7)
+    for i in range(3):
+        with open(os.path.join(tmp_dir, f"f {i}.csv"), "w", encoding="utf-8", newline="") as f:
+            f.write(_random_csv(rng, 160, newline))
+    names = ["k", "v", "w"]
+    want = spark.read.csv(tmp_dir, schema="k string, v string, w string", header=True, quote='"', escape='"', multiLine=True)
+    split = {"spark.sql.files.maxPartitionBytes": "150", "spark.sql.files.openCostInBytes": "0"}
+    files = [os.path.join(tmp_dir, f"f {i}.csv") for i in range(3)]
+    before = {k: spark.conf.get(k) for k in split}
+    for k, v in split.items():
+        spark.conf.set(k, v)
+    try:
+        got_rows = csv_source._parsed(csv_source.quoted_records(spark, files, ","), names, ",")
+        tasks = spark.read.text(files, lineSep="\n").rdd.getNumPartitions()
+        got = [tuple(r) for r in got_rows.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    key = lambda r: tuple((x is None, x or "") for x in r)
+    assert tasks > 60 and sorted(got, key=key) == sorted((tuple(r) for r in want.collect()), key=key)
+
+
+def test_quoted_records_edges(spark, tmp_dir):
+    def read(text):
+        path = os.path.join(tempfile.mkdtemp(dir=tmp_dir), "a.csv")
+        with open(path, "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+        return [tuple(r) for r in csv_source._parsed(csv_source.quoted_records(spark, [path], ","), ["a", "b"], ",").collect()]
+
+    assert read("a,b\n") == []
+    assert read("a,b") == []
+    assert read('a,b\n\n  \n1,"x\ny"') == [("1", "x\ny")]
+    assert read('"a\nb",c\n1,2\n') == [("1", "2")]  # a header over two lines is one record
+    assert [r[0] for r in read('a,b\n1,2\n3,"never closed\n4,5\n')] == ["1", "3"]
