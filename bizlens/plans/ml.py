@@ -3,9 +3,10 @@ queries; DuckDB oracles where SQL can express the result."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from bizlens.operators.ml import balls, cluster, explain, iforest
+from bizlens.operators.ml import balls, cluster, explain, iforest, kmeans
 from bizlens.operators.ml import neighbors as nb
 from bizlens.operators.ml.prep import KEY, bounded_sample, numeric_matrix, scale
 from bizlens.plans.oracle import with_views as W
@@ -139,6 +140,30 @@ def q_silhouette_labels(spark, sf):
     return nb.silhouette(points).select(F.round("silhouette", DIGITS).alias("silhouette"))
 
 
+# fixed centres in (quantity, discount in percent) for several k
+FIXED_CENTRES = {2: [(10, 2), (40, 8)], 3: [(10, 5), (25, 5), (40, 5)], 4: [(5, 1), (20, 9), (33, 3), (48, 7)]}
+
+
+@register("kmeans_fixed", W("numeric_mix") + f""",
+p AS (SELECT row_number() OVER () AS id, CAST(quantity AS DOUBLE) AS x, round(CAST(discount AS DOUBLE) * 100) AS y FROM numeric_mix),
+c(k, centre, cx, cy) AS (VALUES {", ".join(f"({k}, {j}, {x}.0, {y}.0)" for k, cs in FIXED_CENTRES.items() for j, (x, y) in enumerate(cs))}),
+a AS (SELECT id, k, x, y, min(struct_pack(d := (x - cx) ** 2 + (y - cy) ** 2, centre := centre)) AS near FROM p, c GROUP BY ALL),
+s AS (SELECT k, near.centre AS centre, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) + var_pop(y) AS v, sum(near.d) AS inertia FROM a GROUP BY ALL),
+d AS (SELECT a.id, a.k, s.n, s.centre = a.near.centre AS own, (x - mx) ** 2 + (y - my) ** 2 + v AS far FROM a JOIN s ON a.k = s.k),
+e AS (SELECT id, k, max(CASE WHEN own THEN far * n / greatest(n - 1, 1) END) AS o, min(CASE WHEN NOT own THEN far END) AS b, max(CASE WHEN own THEN n END) AS n FROM d GROUP BY ALL),
+t AS (SELECT k, avg(CASE WHEN n > 1 AND greatest(o, b) > 0 THEN (b - o) / greatest(o, b) ELSE 0 END) AS silhouette FROM e GROUP BY k)
+SELECT s.k, s.centre, s.n, round(s.inertia, 4) AS inertia, round(t.silhouette, 8) AS silhouette FROM s JOIN t ON s.k = t.k""")
+def q_kmeans_fixed(spark, sf):
+    """Sizes, squared distances and silhouettes that fixed centres of several k give, in two passes."""
+    items = views.numeric_mix(spark, sf)
+    vec = F.array(F.col("quantity").cast("double"), F.round(F.col("discount").cast("double") * 100))
+    points = items.select(F.monotonically_increasing_id().alias("id"), vec.alias("vec"))
+    fits = kmeans.evaluate(points, {k: np.array(c, dtype=float) for k, c in FIXED_CENTRES.items()})
+    rows = [(k, j, int(f.sizes[j]), float(f.distances[j]), f.silhouette) for k, f in fits.items() for j in range(k) if f.sizes[j]]
+    got = spark.createDataFrame(rows, "k int, centre int, n long, inertia double, silhouette double")
+    return got.select("k", "centre", "n", F.round("inertia", 4).alias("inertia"), F.round("silhouette", 8).alias("silhouette"))
+
+
 @register("cluster_auto")
 def q_cluster_auto(spark, sf):
     prep = cluster.prepare(views.numeric_mix(spark, sf))

@@ -12,7 +12,7 @@ from bizlens.plans import ORACLE, QUERIES
 from bizlens.sources.views import TABLES
 
 SF = os.environ.get("BIZLENS_TEST_SF", "/root/testdata/sf0.001")
-SLOW = {"cluster_auto", "kmeans_best_k", "map_grouped"}
+SLOW = {"cluster_auto"}
 
 
 def _norm(v):
