@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,36 +187,84 @@ def _merge_moments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tupl
             np.minimum(a[4], b[4]), np.maximum(a[5], b[5]))
 
 
-def _pair_moments(batches):
-    """One row per column pair i <= j for all batches of a partition."""
+MOMENTS = ("n", "mean_a", "mean_b", "dev_a", "dev_b", "prod", "lo_a", "hi_a", "lo_b", "hi_b")
+#: Columns per side of a block of pairs; a packed block has at most 5 KB.
+PAIR_BLOCK = 8
+#: Tasks that may hold moments of one pair after the first merge.
+MERGERS = 16
+
+
+def _packed_moments(batches):
+    """One row per block of column pairs (i, j), first column not after the second's block, for all batches of a partition."""
     total = None
     for pdf in batches:
         if len(pdf):
             part = _batch_moments(pdf.to_numpy(dtype=np.float64))
             total = part if total is None else _merge_moments(total, part)
-    if total is not None:
-        n, mean, dev, prod, lo, hi = total
-        i, j = np.triu_indices(len(n))
-        rows = pd.DataFrame({"i": i, "j": j, "n": n[i, j], "mean_a": mean[i, j], "mean_b": mean[j, i], "dev_a": dev[i, j],
-                             "dev_b": dev[j, i], "prod": prod[i, j], "lo_a": lo[i, j], "hi_a": hi[i, j], "lo_b": lo[j, i], "hi_b": hi[j, i]})
-        yield rows[rows["n"] > 0]
+    if total is None:
+        return
+    n, mean, dev, prod, lo, hi = total
+    blocks = [slice(x, x + PAIR_BLOCK) for x in range(0, len(n), PAIR_BLOCK)]
+    rows = []
+    for bi, i in enumerate(blocks):
+        for bj, j in enumerate(blocks[bi:], bi):
+            sides = [m for x in (mean, dev, lo, hi) for m in (x[i, j], x[j, i].T)]
+            stack = np.stack([n[i, j], *sides[:4], prod[i, j], sides[4], sides[6], sides[5], sides[7]])
+            rows.append((bi, bj, stack.tobytes()))
+    yield pd.DataFrame(rows, columns=["bi", "bj", "packed"]).assign(merger=TaskContext.get().partitionId() % MERGERS)
+
+
+def _merge_packed(columns: int):
+    """Merge the blocks that a task gets one by one and yield one row per column pair i <= j."""
+
+    def run(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in batches:
+            for bi, bj, packed in zip(pdf["bi"], pdf["bj"], pdf["packed"]):
+                shape = [min(PAIR_BLOCK, columns - b * PAIR_BLOCK) for b in (bi, bj)]
+                b = np.frombuffer(packed).reshape(len(MOMENTS), *shape)
+                a = total.get((bi, bj))
+                total[bi, bj] = b if a is None else _merge_stacks(a, b)
+        for (bi, bj), stack in total.items():
+            i, j = (x.ravel() for x in np.indices(stack.shape[1:]))
+            rows = pd.DataFrame({"i": i + bi * PAIR_BLOCK, "j": j + bj * PAIR_BLOCK, **{f: m.ravel() for f, m in zip(MOMENTS, stack)}})
+            yield rows[(rows["n"] > 0) & (rows["i"] <= rows["j"])]
+
+    return run
+
+
+def _merge_stacks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The stacked moments (in the order of ``MOMENTS``) of two disjoint sets of rows together."""
+    x, y = dict(zip(MOMENTS, a)), dict(zip(MOMENTS, b))
+    n = x["n"] + y["n"]
+    some = np.maximum(n, 1.0)
+    share, weight = y["n"] / some, x["n"] * y["n"] / some
+    gap = {s: np.where(x["n"] > 0, y[f"mean_{s}"] - x[f"mean_{s}"], 0) for s in "ab"}
+    out = {"n": n, "prod": x["prod"] + y["prod"] + gap["a"] * gap["b"] * weight}
+    for s in "ab":
+        out[f"mean_{s}"] = np.where(x["n"] > 0, x[f"mean_{s}"] + gap[s] * share, y[f"mean_{s}"])
+        out[f"dev_{s}"] = x[f"dev_{s}"] + y[f"dev_{s}"] + gap[s] ** 2 * weight
+        out[f"lo_{s}"] = np.minimum(x[f"lo_{s}"], y[f"lo_{s}"])
+        out[f"hi_{s}"] = np.maximum(x[f"hi_{s}"], y[f"hi_{s}"])
+    return np.stack([out[f] for f in MOMENTS])
 
 
 def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlation of all column pairs, long form
     (i, j, row_name, col_name, corr); NULL where undefined.
 
-    Every task reduces its rows to one row of moments per pair (matrix products over
-    Arrow batches); these are merged around the pair's mean. The diagonal is 1 where
-    the column varies.
+    Every task reduces its rows to moments per pair (matrix products over Arrow batches), packed in
+    blocks of pairs. Up to ``MERGERS`` tasks a block merge these one by one, so that what is stored (at most ``MERGERS`` rows a
+    pair) does not grow with the number of tasks; the rest is merged around the pair's mean. The
+    diagonal is 1 where the column varies.
     """
     cols = columns if columns is not None else column_kinds(df).numeric
     if not cols:
         return df.sparkSession.createDataFrame([], "i int, j int, row_name string, col_name string, corr double")
     numbers = df.select(*[to_number(df, c).alias(f"_n{i}") for i, c in enumerate(cols)])
-    fields = ("n", "mean_a", "mean_b", "dev_a", "dev_b", "prod", "lo_a", "hi_a", "lo_b", "hi_b")
-    # tasks x pairs rows, read twice below: computed once
-    parts = materialize(numbers.mapInPandas(_pair_moments, "i int, j int, " + ", ".join(f"{f} double" for f in fields)))
+    packed = numbers.mapInPandas(_packed_moments, "bi int, bj int, packed binary, merger int").repartition("bi", "bj", "merger")
+    # read twice below: computed once
+    parts = materialize(packed.mapInPandas(_merge_packed(len(cols)), "i int, j int, " + ", ".join(f"{f} double" for f in MOMENTS)))
     means = parts.groupBy("i", "j").agg(*[(F.sum(F.col("n") * F.col(f"mean_{s}")) / F.sum("n")).alias(f"all_{s}") for s in "ab"])
     off = {s: F.col(f"mean_{s}") - F.col(f"all_{s}") for s in "ab"}
     # one row per column pair: bounded by the schema width

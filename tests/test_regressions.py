@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bizlens.operators import charts, forecast, modes
-from bizlens.operators.common import first_by_hash
+from bizlens.operators.common import first_by_hash, materialize
 from bizlens.operators.comparison import compare_dimension
 from bizlens.operators.marketplace import marketplace_kpis, pareto_core
 from bizlens.operators.ml import cluster
@@ -219,3 +219,21 @@ def test_csv_folder_by_column_name(spark, tmp_path):
     (tmp_path / "c.csv").write_text("id,price,note\n5,7,plain\n")
     got = {r["id"]: (r["price"], r["note"]) for r in read_csv(spark, str(tmp_path)).collect()}
     assert got == {1: (10.5, "x"), 2: (20.0, "two\nlines"), 3: (99.5, None), 4: (1.0, None), 5: (7.0, "plain")}
+
+
+def test_correlation_of_many_columns_stores_few_rows(spark, monkeypatch):
+    from bizlens.operators import profile
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(1e6, 1, (300, 60)) + rng.normal(0, 1, (300, 1))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[:290, 9] = 4.0, np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(60)])
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in pdf.columns)).repartition(40)
+    stored = []
+    monkeypatch.setattr(profile, "materialize", lambda d: stored.append(materialize(d)) or stored[-1])
+    got = profile.corr_matrix(df, list(pdf.columns)).toPandas().pivot(index="i", columns="j", values="corr").to_numpy(dtype=float)
+    want = pdf.corr(min_periods=2).to_numpy()
+    assert stored[-1].count() <= profile.MERGERS * 60 * 61 / 2
+    assert np.isnan(got[7]).all() and (np.isnan(got) == np.isnan(want)).all() and np.nanmax(np.abs(got - want)) < 1e-6
