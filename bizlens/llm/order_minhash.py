@@ -12,8 +12,9 @@ No group is expanded into pairs:
 1. texts with equal words are one node, whatever their number of copies;
 2. every bucket is compared with one centre, the member that shares most buckets, once over
    all sketches; this alone joins most of a large group;
-3. buckets that still hold several components are cut into blocks of ``BLOCK`` texts; each
-   block of texts outside the bucket's largest component meets every block in one task, which
+3. buckets that still hold several components are cut into blocks of ``BLOCK`` texts, the texts outside
+   the bucket's largest component into blocks of their own; each of those meets every block in one task, so
+   a large component is copied once per block of the others, not per block of its own. The task
    counts shared k-mers by matrix products, aligns only pairs that can reach the threshold and
    returns the links it needed. Every colliding pair is either linked, already connected or
    rejected by a bound or its alignment; none is dropped.
@@ -295,12 +296,14 @@ def _components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     placed = materialize(members.drop("place").join(components, "key"))
     by_component = placed.groupBy("j", "v", "component").agg(F.count(F.lit(1)).alias("here"))
     mixed = by_component.groupBy("j", "v").agg(F.max(F.struct("here", "component")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    rows = placed.join(mixed.select("j", "v", F.col("top.component").alias("largest")), ["j", "v"])
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rows = materialize(rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    minor = rows.where("component <> largest").select("j", "v", "key", "component", "blocks", F.lit(True).alias("minor_side"), F.col("block").alias("minor_block"), every.alias("other_block"))
-    other = rows.select("j", "v", "key", "component", "blocks", F.lit(False).alias("minor_side"), every.alias("minor_block"), F.col("block").alias("other_block"))
+    rows = placed.join(mixed.select("j", "v", F.col("top.component").alias("largest"), F.col("top.here").alias("major")), ["j", "v"])
+    blocks, minor_blocks = (F.ceil(n / F.lit(BLOCK)).cast("int") for n in (F.col("size"), F.col("size") - F.col("major")))
+    rows = materialize(rows.select("j", "v", "key", "component", "largest", blocks.alias("blocks"), minor_blocks.alias("minor_blocks")))
+    sides = rows.select("j", "v", "key", "component", "largest", "blocks", "minor_blocks", F.xxhash64("key").alias("h"))
+    block, minor_block = F.pmod("h", "blocks").cast("int"), F.pmod("h", "minor_blocks").cast("int")
+    every, every_minor = (F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("blocks", "minor_blocks"))
+    minor = sides.where("component <> largest").select("j", "v", "key", "component", "blocks", F.lit(True).alias("minor_side"), minor_block.alias("minor_block"), every.alias("other_block"))
+    other = sides.select("j", "v", "key", "component", "blocks", F.lit(False).alias("minor_side"), every_minor.alias("minor_block"), block.alias("other_block"))
     packs = max(1, rows.count() // PACK_ROWS)
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("j", "v"), F.lit(packs))).otherwise(F.xxhash64("j", "v", "minor_block", "other_block"))
     both = minor.unionByName(other).withColumn("pack", pack).join(kmer_rows, "key")
@@ -313,14 +316,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, place (hash of the text), class_id, class_size, kept."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("place"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    sketched = materialize(texts.mapInPandas(_sketch, f"id {id_type}, place long, key binary, n int, sketch array<long>, short array<long>"))
+    sketches = texts.mapInPandas(_sketch, f"id {id_type}, place long, key binary, n int, sketch array<long>, short array<long>")
+    sketched = materialize(sketches.withColumn("row", F.monotonically_increasing_id()))  # numbers fixed by the checkpoint
     worded = sketched.where(F.col("sketch").isNotNull()).groupBy("key").agg(F.first(F.struct("place", "n", "sketch", "short")).alias("r")).select("key", "r.*")
     components = _components(worded, texts.select("place", "text").where(F.col("text").isNotNull()))
-    rows = sketched.select("id", "place", "key")
-    classed = rows.where(F.col("key").isNotNull()).join(components, F.col("key") == F.col("node"), "left").select("id", "place", F.coalesce("component", "key").alias("class"))
-    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("place")))
+    rows = sketched.select("id", "place", "key", "row")
+    classed = rows.where(F.col("key").isNotNull()).join(components, F.col("key") == F.col("node"), "left").select("id", "place", "row", F.coalesce("component", "key").alias("class"))
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("place"), F.col("row")))
     classes = classed.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"), first.alias("first"))
-    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("place") == F.col("first.place"))
+    same = F.col("row") == F.col("first.row")
     grouped = classed.join(classes, "class").select(
         F.col("id").alias("doc_id"), "place", F.col("first.id").alias("class_id"), "class_size", same.alias("kept"))
     alone = rows.where(F.col("key").isNull()).select(
@@ -330,12 +334,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one of each class."""
-    kept = materialize(near_duplicates(docs, id_col, text_col).where("kept"))
+    found = materialize(near_duplicates(docs, id_col, text_col))
+    kept = found.where("kept")
     id_, place = unused(docs, "__kept_id"), unused(docs, "__kept_place")
     keys = kept.select(F.col("doc_id").alias(id_), F.col("place").alias(place)).distinct()
     same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(place))
     rows = docs.join(keys, same, "left_semi")
-    again = kept.where("class_size > 1").groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = found.where("class_size > 1").groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")).where("rows > 1 AND kept")
     if again.head(1):  # repeated rows: ids and texts are equal, one row of each stays
         repeated = again.select(F.col("doc_id").alias(id_), F.col("place").alias(place))
         one = rows.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])

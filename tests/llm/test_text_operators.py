@@ -205,6 +205,32 @@ def test_short_near_duplicates_are_all_found(spark):
     assert got == {i: i if i >= 10_000 else i - i % 2 for i, _ in rows}
 
 
+def test_one_of_repeated_rows_is_kept(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (1, text), (1, text + " more"), (2, text), (None, "lone words here"), (None, "lone words here"), (3, None), (3, None)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept int")
+    got = order_minhash.near_duplicates(df).collect()
+    assert len(got) == 8 and sorted((r["class_size"], r["kept"]) for r in got if r["class_id"] == 1) == [(4, False)] * 3 + [(4, True)]
+    assert [r["kept"] for r in got if r["class_size"] == 2].count(True) == 1
+    left = order_minhash.drop_near_duplicates(df).collect()
+    assert sorted(str(r["doc_id"]) for r in left) == ["1", "3", "3", "None"] and set(left[0].asDict()) == {"doc_id", "text", "kept"}
+
+
+def test_a_stray_text_meets_a_large_bucket_in_blocks(spark, monkeypatch):
+    """Blocks of two texts: what several blocks of the minority and of all texts find equals brute force."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 2)
+    rng = random.Random(5)
+    rows = []
+    for group in range(4):
+        words = [f"w{i}" for i in range(65)] + [f"g{group}x{i}" for i in range(35)]
+        for _ in range(9):
+            copy = list(words)
+            copy[rng.randrange(65, 100)] = f"r{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 9 * 9 for i in range(36)}
+
+
 def test_near_duplicates_edges(docs):
     got = order_minhash.near_duplicates(docs).collect()
     by_id = {r["doc_id"]: r for r in got}
