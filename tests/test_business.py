@@ -101,3 +101,13 @@ def test_profile_constant_and_single_row(spark):
     one = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     assert profile.profile_describe(one).first()["std"] is None
     assert profile.insights_all(one).count() == 1
+
+
+def test_rules_read_the_table_once(spark, tmp_path):
+    rows = [("a", "p", f"2024-01-0{d}", 10.0 * d) for d in range(1, 7)] + [(None, "q", None, 1.0), ("b", None, "2024-01-09", None)]
+    spark.createDataFrame(rows, "category string, product string, date string, revenue double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = rules.business_insights(df, detect_roles(df))
+    assert out.inputFiles() == []
+    single = [rules.rule_missing_share(df), *[f(df, detect_roles(df)) for f in (rules.rule_category_dependency, rules.rule_product_dependency, rules.rule_sales_trend)]]
+    assert sorted(map(tuple, out.collect())) == sorted(tuple(r) for part in single for r in part.collect())
