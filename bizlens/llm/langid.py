@@ -25,9 +25,12 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +65,16 @@ def grams_of(word: str, order: int) -> list[str]:
 
 @dataclass
 class Table:
-    """Items with one row of smoothed log frequencies (a column per language)."""
+    """Items with one row of smoothed log frequencies (a column per language). The items stay one Arrow array, on the
+    driver and on the way; their places are looked up where the model is used."""
 
-    place: dict[str, int]
+    items: pa.Array
     rows: np.ndarray
 
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.items.to_pylist())}
+
 
 @dataclass
 class Model:
@@ -167,18 +175,20 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _rows(found)
 
 
-def _table(counts: pd.DataFrame, langs: list[str], sizes: dict[int, dict[str, float]], order_of) -> Table:
+def _table(counts: pa.Table, langs: list[str], sizes: dict[int, dict[str, float]], order_of) -> Table:
     """Smoothed log frequencies; ``sizes``: items counted per order and language."""
-    place, items = pd.factorize(counts["item"], sort=True)
-    sums = np.zeros((len(items), len(langs)))
-    column = {lang: i for i, lang in enumerate(langs)}
-    np.add.at(sums, (place, counts["lang"].map(column).to_numpy(dtype=int)), counts["n"].to_numpy(dtype=float))
-    orders = np.array([order_of(w) for w in items], dtype=int)
-    out = np.log(sums + _SMOOTH)
-    for o in set(orders.tolist()):
+    coded = counts.column("item").combine_chunks().dictionary_encode()
+    items = coded.dictionary
+    out = np.zeros((len(items), len(langs)))
+    column = pc.index_in(counts.column("lang").combine_chunks(), pa.array(langs, pa.string())).to_numpy()
+    np.add.at(out, (coded.indices.to_numpy(), column), counts.column("n").to_numpy())
+    out += _SMOOTH
+    np.log(out, out=out)
+    orders = order_of(items)
+    for o in np.unique(orders).tolist():
         here = orders == o
         out[here] -= np.log([sizes[o].get(lang, 0.0) + _SMOOTH * here.sum() for lang in langs])
-    return Table({w: i for i, w in enumerate(items)}, out.astype(np.float32))
+    return Table(items, out.astype(np.float32))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -188,7 +198,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(per_lang)
     if not langs:
-        return Model([], Table({}, np.zeros((0, 0), np.float32)), Table({}, np.zeros((0, 0), np.float32)))
+        return Model([], *[Table(pa.array([], pa.string()), np.zeros((0, 0), np.float32)) for _ in range(2)])
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample_docs / per_lang[lang]))])
     draw = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit("langid")), 11) / F.lit(float(2**53))
     sample = labelled.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
@@ -196,13 +206,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     grams = materialize(words.mapInPandas(_count_grams, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
     word_sizes = {r["lang"]: float(r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     # counts of a bounded sample: the model itself, one row per language and item
-    known = _table(words.toPandas(), langs, {1: word_sizes}, lambda item: 1)
+    known = _table(words.toArrow(), langs, {1: word_sizes}, lambda items: np.ones(len(items), int))
     order = F.length("item")
     sums = grams.groupBy(order.alias("gram_order"), "lang").agg(F.sum("n").alias("n")).collect()
     gram_sizes: dict[int, dict[str, float]] = {o: {} for o in ORDERS}
     for r in sums:
         gram_sizes[r["gram_order"]][r["lang"]] = float(r["n"])
-    return Model(langs, known, _table(grams.toPandas(), langs, gram_sizes, len))
+    return Model(langs, known, _table(grams.toArrow(), langs, gram_sizes, lambda items: pc.utf8_length(items).to_numpy()))
 
 
 def predict_column(docs: DataFrame, text: Column, model: Model) -> Column:

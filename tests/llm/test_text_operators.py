@@ -281,3 +281,10 @@ def test_encode_digests(docs):
     empty = hashlib.sha256(b"").hexdigest()
     assert out[7]["n_tokens"] == out[6]["n_tokens"] == 0 and out[7]["ids_sha256"] == out[7]["decoded_sha256"] == empty
     assert out[12]["decoded_sha256"] == hashlib.sha256(b"z" * 50_000).hexdigest()
+
+
+def test_language_model_travels_as_arrays(spark):
+    df = spark.createDataFrame([(i, "one two three" if i % 2 else "un deux trois", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert "place" not in vars(model.grams) and model.grams.items.to_pylist() == list(model.grams.place)
+    assert langid.Predictor(model).predict("deux un")[0] == "fr"
