@@ -240,7 +240,8 @@ def pack(arrays: list[np.ndarray]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.array(head, np.int64).tobytes() + b"".join(planes))
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes, wide: bool = True) -> list[np.ndarray]:
+    """The packed arrays as 64-bit numbers or, if not ``wide``, in the width they are packed in."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -248,7 +249,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     head, at, out = np.frombuffer(raw, np.int64, 2 * count, 8).reshape(count, 2).tolist(), 8 + 16 * count, []
     for n, width in head:
         planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        column = np.ascontiguousarray(planes.T).view("<i8" if width == 8 else f"<u{width}").ravel()
+        out.append(column.astype(np.int64) if wide else column)
         at += n * width
     return out
 
@@ -472,19 +474,24 @@ def _spread(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def build_trie(messages: list[list[np.ndarray]], prior=PRIOR) -> bytes:
-    """The flat trie of one shard from the messages of all blocks."""
-    first = _spread([np.repeat(m[0], m[2]) for m in messages])
-    keys, counts, place = _added(first << 32 | _spread([m[3] for m in messages]), _spread([m[4] for m in messages]))
+    """The flat trie of one shard from the messages of all blocks (arrays of any width)."""
+    wide = lambda lists: _spread(lists).astype(np.int64)
+    keys = wide([np.repeat(m[0], m[2]) for m in messages])
+    keys <<= 32
+    keys |= wide([m[3] for m in messages])
+    keys, counts, place = _added(keys, _spread([m[4] for m in messages]))
     # all seen first words: the successors of one may lie in other shards, its g is still asked for here
-    words, one = np.unique(_spread([m[0] for m in messages]), return_index=True)
-    word_counts = _spread([m[1] for m in messages])[one]
+    words, one = np.unique(wide([m[0] for m in messages]), return_index=True)
+    word_counts = wide([m[1] for m in messages])[one]
     words, word_counts = words[word_counts > 0], word_counts[word_counts > 0]
     levels = [(np.searchsorted(words, keys >> 32), keys & 0xFFFFFFFF, counts)]
     for at in range(5, len(messages[0]) if messages else 0, 3):
         sizes = [len(m[at]) for m in messages]
         offset = np.cumsum(sizes) - sizes
-        parent = _spread([np.repeat(np.arange(len(m[at])) + o, m[at]) for m, o in zip(messages, offset)])
-        keys, counts, place = _added(place[parent] << 32 | _spread([m[at + 1] for m in messages]), _spread([m[at + 2] for m in messages]))
+        keys = place[_spread([np.repeat(np.arange(len(m[at])) + o, m[at]) for m, o in zip(messages, offset)])]
+        keys <<= 32
+        keys |= wide([m[at + 1] for m in messages])
+        keys, counts, place = _added(keys, _spread([m[at + 2] for m in messages]))
         levels.append((keys >> 32, keys & 0xFFFFFFFF, counts))
     return Trie.build(words, word_counts, levels, prior)
 
@@ -507,9 +514,10 @@ def answer(trie: Trie, message: list[np.ndarray]) -> bytes:
 def _answers(order: int, prior):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        messages = [unpack(p) for p in table.column("payload").to_pylist()]
-        trie = Trie(order, mapped_arrays(build_trie(messages, prior)))
-        return pa.table({"shard": table.column("shard"), "block": table.column("block"), "payload": pa.array([answer(trie, m) for m in messages], pa.binary())})
+        packed = table.column("payload")
+        # the messages of all blocks are held in their packed widths, and only while the trie is built
+        trie = Trie(order, mapped_arrays(build_trie([unpack(p.as_py(), False) for p in packed], prior)))
+        return pa.table({"shard": table.column("shard"), "block": table.column("block"), "payload": pa.array([answer(trie, unpack(p.as_py())) for p in packed], pa.binary())})
 
     return run
 
@@ -594,7 +602,7 @@ class CorpusModel:
         prior = self.prior
 
         def build(table: pa.Table) -> pa.Table:
-            trie = build_trie([unpack(p) for p in table.column("payload").to_pylist()], prior)
+            trie = build_trie([unpack(p.as_py(), False) for p in table.column("payload")], prior)
             return pa.table({"shard": table.column("shard").slice(0, 1), "trie": pa.array([trie], pa.binary())})
 
         return self.messages().groupBy("shard").applyInArrow(build, "shard int, trie binary")

@@ -106,3 +106,11 @@ def test_better_than_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = nt.score_documents(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > 0.97 * got["sum(base_score)"]
+
+
+def test_tries_of_packed_widths_are_the_same():
+    words = np.array([0, 2, 300]), np.array([5, 70_000, 9]), np.array([1, 2, 1]), np.array([2, 4, 2**31, 5]), np.array([1, 0, 3, 300])
+    blobs = [nt.pack(list(words)), nt.pack([a.copy() for a in words])]
+    narrow = [nt.unpack(b, False) for b in blobs]
+    assert [a.itemsize for a in narrow[0]] == [2, 4, 1, 4, 2]
+    assert nt.build_trie(narrow) == nt.build_trie([nt.unpack(b) for b in blobs])
